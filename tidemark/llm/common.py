@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,7 +70,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
         if not batch.num_rows:
             continue
         values = batch.column(batch.schema.get_field_index(column))
-        sizes = np.asarray(pa.compute.binary_length(values).fill_null(0)).astype(np.int64)
+        sizes = np.asarray(pc.binary_length(values).fill_null(0)).astype(np.int64)
         part = np.cumsum(sizes) // limit
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
