@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, jpeg
 from .common import table
 
 
@@ -15,6 +15,11 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), keep_ids=False)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_bpe": op3_bpe}
+def op5_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text stored as a progressive JPEG and read back, with features of its RGB tensor."""
+    return jpeg.read(jpeg.store(table(spark, sf_dir, "documents")), tensors=False)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_bpe": op3_bpe, "op5_jpeg": op5_jpeg}
 
 ORACLE_SQL: dict[str, str] = {}
