@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jpeg
+from . import bpe, jpeg, warc
 from .common import table
 
 
@@ -20,6 +20,23 @@ def op5_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.read(jpeg.store(table(spark, sf_dir, "documents")), tensors=False)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_bpe": op3_bpe, "op5_jpeg": op5_jpeg}
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back as one row per capture."""
+    return warc.round_trip(spark, table(spark, sf_dir, "pages"))
 
-ORACLE_SQL: dict[str, str] = {}
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_bpe": op3_bpe, "op5_jpeg": op5_jpeg, "op10_warc": op10_warc}
+
+#: SQL that gives the 32 upper-case base32 letters of a hex SHA-1.
+_BASE32 = """list_reduce(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST(((CAST('0x' || substr(h, CAST(i // 8 * 10 + 1 AS BIGINT), 10) AS BIGINT) >> CAST(35 - 5 * (i % 8) AS BIGINT)) & 31) + 1 AS BIGINT), 1)), lambda a, b: a || b)"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op10_warc": f"""
+        WITH p AS (SELECT page_id, url, coalesce(html, '') AS t FROM pages),
+        q AS (SELECT page_id, url, octet_length(encode(t)) AS payload_bytes, sha1(t) AS h, min(page_id) OVER (PARTITION BY t) AS f FROM p)
+        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
+            CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id = f THEN NULL ELSE f END AS refers_to, url
+        FROM q""",
+}
