@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jpeg, warc
+from . import bpe, chat, jpeg, langid, warc
 from .common import table
 
 
@@ -25,7 +25,19 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_bpe": op3_bpe, "op5_jpeg": op5_jpeg, "op10_warc": op10_warc}
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation formatted, and what the formatted text says when parsed again."""
+    rows = chat.with_probe(spark, table(spark, sf_dir, "conversations"))
+    return chat.read_back(chat.format_conversations(rows))
+
+
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document by a model of those that aren't held out."""
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.fit(docs))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_bpe": op3_bpe, "op5_jpeg": op5_jpeg, "op6_chat": op6_chat, "op8_langid": op8_langid, "op10_warc": op10_warc}
 
 #: SQL that gives the 32 upper-case base32 letters of a hex SHA-1.
 _BASE32 = """list_reduce(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
@@ -39,4 +51,16 @@ ORACLE_SQL: dict[str, str] = {
             CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type,
             CASE WHEN page_id = f THEN NULL ELSE f END AS refers_to, url
         FROM q""",
+    # The lengths hold for texts without backslashes before control strings.
+    "op6_chat": r"""
+        WITH c AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        d AS (SELECT *, len(regexp_extract_all(text, '<s>|</s>|\[ROLE\]|\[TEXT\]|\[END\]|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>|<\|im_start\|>|<\|im_end\|>')) AS marks FROM c)
+        SELECT conv_id, count(*) AS n_turns,
+            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+            CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+            sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+            CAST(7 + sum(17 + length(role) + length(text) + marks) AS BIGINT) AS formatted_chars
+        FROM d GROUP BY conv_id""",
 }
