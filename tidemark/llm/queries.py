@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, jpeg, langid, warc
+from . import bpe, chat, jpeg, langid, lines, warc
 from .common import table
 
 
@@ -37,7 +37,12 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.fit(docs))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_bpe": op3_bpe, "op5_jpeg": op5_jpeg, "op6_chat": op6_chat, "op8_langid": op8_langid, "op10_warc": op10_warc}
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines and pieces of lines that an earlier document holds."""
+    return lines.dedup(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_bpe": op3_bpe, "op5_jpeg": op5_jpeg, "op6_chat": op6_chat, "op8_langid": op8_langid, "op9_lines": op9_lines, "op10_warc": op10_warc}
 
 #: SQL that gives the 32 upper-case base32 letters of a hex SHA-1.
 _BASE32 = """list_reduce(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
