@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, jpeg, langid, lines, warc
+from . import bpe, chat, decontam, jpeg, langid, lines, warc
 from .common import table
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents hold 13-word windows of benchmark items, from the positional index."""
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every document, and the text decoded from them, as digests."""
     return bpe.encode(table(spark, sf_dir, "documents"), keep_ids=False)
@@ -42,7 +47,7 @@ def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_bpe": op3_bpe, "op5_jpeg": op5_jpeg, "op6_chat": op6_chat, "op8_langid": op8_langid, "op9_lines": op9_lines, "op10_warc": op10_warc}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_decontaminate": op1_decontaminate, "op3_bpe": op3_bpe, "op5_jpeg": op5_jpeg, "op6_chat": op6_chat, "op8_langid": op8_langid, "op9_lines": op9_lines, "op10_warc": op10_warc}
 
 #: SQL that gives the 32 upper-case base32 letters of a hex SHA-1.
 _BASE32 = """list_reduce(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
