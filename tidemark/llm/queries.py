@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontam, jpeg, langid, lines, warc
+from . import bpe, chat, decontam, jpeg, langid, lines, minmax, warc
 from .common import table
 
 
@@ -36,6 +36,11 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(rows))
 
 
+def op7_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component of near-duplicates."""
+    return minmax.components(table(spark, sf_dir, "documents"))
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document by a model of those that aren't held out."""
     docs = table(spark, sf_dir, "documents")
@@ -47,7 +52,7 @@ def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_decontaminate": op1_decontaminate, "op3_bpe": op3_bpe, "op5_jpeg": op5_jpeg, "op6_chat": op6_chat, "op8_langid": op8_langid, "op9_lines": op9_lines, "op10_warc": op10_warc}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_decontaminate": op1_decontaminate, "op3_bpe": op3_bpe, "op5_jpeg": op5_jpeg, "op6_chat": op6_chat, "op7_minmax": op7_minmax, "op8_langid": op8_langid, "op9_lines": op9_lines, "op10_warc": op10_warc}
 
 #: SQL that gives the 32 upper-case base32 letters of a hex SHA-1.
 _BASE32 = """list_reduce(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
