@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontam, jpeg, langid, lines, minmax, warc
+from . import bpe, chat, decontam, html_tree, jpeg, langid, lines, minmax, warc
 from .common import table
 
 
@@ -15,6 +15,11 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page by its host's style tree."""
+    return html_tree.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every document, and the text decoded from them, as digests."""
     return bpe.encode(table(spark, sf_dir, "documents"), keep_ids=False)
@@ -52,7 +57,7 @@ def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_decontaminate": op1_decontaminate, "op3_bpe": op3_bpe, "op5_jpeg": op5_jpeg, "op6_chat": op6_chat, "op7_minmax": op7_minmax, "op8_langid": op8_langid, "op9_lines": op9_lines, "op10_warc": op10_warc}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_decontaminate": op1_decontaminate, "op2_html": op2_html, "op3_bpe": op3_bpe, "op5_jpeg": op5_jpeg, "op6_chat": op6_chat, "op7_minmax": op7_minmax, "op8_langid": op8_langid, "op9_lines": op9_lines, "op10_warc": op10_warc}
 
 #: SQL that gives the 32 upper-case base32 letters of a hex SHA-1.
 _BASE32 = """list_reduce(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
