@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontam, html_tree, jpeg, langid, lines, minmax, warc
+from . import bpe, chat, decontam, html_tree, jpeg, langid, lines, minmax, suffix, warc
 from .common import table
 
 
@@ -25,6 +25,11 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), keep_ids=False)
 
 
+def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes that 400-byte strings which occur elsewhere cover."""
+    return suffix.dedup(table(spark, sf_dir, "documents"), keep_bytes=False)
+
+
 def op5_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text stored as a progressive JPEG and read back, with features of its RGB tensor."""
     return jpeg.read(jpeg.store(table(spark, sf_dir, "documents")), tensors=False)
@@ -57,7 +62,7 @@ def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_decontaminate": op1_decontaminate, "op2_html": op2_html, "op3_bpe": op3_bpe, "op5_jpeg": op5_jpeg, "op6_chat": op6_chat, "op7_minmax": op7_minmax, "op8_langid": op8_langid, "op9_lines": op9_lines, "op10_warc": op10_warc}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_decontaminate": op1_decontaminate, "op2_html": op2_html, "op3_bpe": op3_bpe, "op4_suffix": op4_suffix, "op5_jpeg": op5_jpeg, "op6_chat": op6_chat, "op7_minmax": op7_minmax, "op8_langid": op8_langid, "op9_lines": op9_lines, "op10_warc": op10_warc}
 
 #: SQL that gives the 32 upper-case base32 letters of a hex SHA-1.
 _BASE32 = """list_reduce(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
