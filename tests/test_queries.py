@@ -1,0 +1,31 @@
+"""Every query of the table engine against its SQL on the smallest tables."""
+
+import os
+
+import duckdb
+import pytest
+
+from tidemark.queries import ORACLE_SQL, QUERIES
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def duck():
+    if not os.path.isdir(FOLDER):
+        pytest.skip("no test tables")
+    connection = duckdb.connect()
+    for name in ("customer", "events", "lineitem"):
+        connection.sql(f"create view {name} as select * from '{FOLDER}/{name}.parquet'")
+    return connection
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query(spark, duck, name):
+    ours = QUERIES[name](spark, FOLDER)
+    theirs = duck.sql(ORACLE_SQL[name])
+    columns = sorted(ours.columns)
+    assert columns == sorted(theirs.columns)
+    listed = ",".join(f'"{c}"' for c in columns)
+    expected = duck.sql(f"select {listed} from ({ORACLE_SQL[name]})").fetchall()
+    assert sorted(map(repr, map(tuple, ours.select(*columns).collect()))) == sorted(map(repr, expected))
