@@ -1,0 +1,71 @@
+"""Line and piece dedup: planted repeats go, the rest stays, offsets are those of the input."""
+
+import random
+
+from tidemark.llm import lines
+
+from .corpus import documents, frame, odd, sentence
+
+
+def result(df):
+    return {(r["doc_id"], i): r for i, r in enumerate(sorted(df.collect(), key=lambda r: (str(r["doc_id"]), r["text"] or "")))}
+
+
+def test_lines_and_passages(spark):
+    g = random.Random(8)
+    line, passage = sentence(g, 30), sentence(g, 60)
+    unique = [sentence(g, 25) for _ in range(6)]
+    rows = [(1, f"{unique[0]}\n{line}\n{unique[1]}"), (2, f"{line.upper()}\n{unique[2]}"), (3, f"{unique[3]} {passage} end"), (4, f"{unique[4]}\n{unique[5]} {passage} other end here"), (5, "short line\nshort line")]
+    out = {r["doc_id"]: r for r in lines.dedup(frame(spark, rows)).collect()}
+    assert out[1]["n_removed"] == 0 and out[3]["n_removed"] == 0 and out[5]["n_removed"] == 0
+    assert out[2]["text"] == unique[2]
+    left = out[4]["text"]
+    assert left.startswith(unique[4] + "\n" + unique[5].split()[0]) and left.endswith("end here")
+    assert len(set(left.split()) & set(passage.split())) <= 40 and len(left) < len(rows[3][1]) - len(passage) // 2
+    text = dict(rows)[4]
+    gone = out[4]["removed"]
+    assert sum(s["end"] - s["start"] for s in gone) == out[4]["n_removed"]
+    at, kept = 0, ""
+    for s in gone:
+        kept, at = kept + text[at : s["start"]], s["end"]
+    assert kept + text[at:] == left
+
+
+def brute(rows):
+    """The same rule in plain Python, over the pieces of each text alone."""
+    ranked = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0, k))
+    pieces = [lines.Pieces([(t or "").encode()]) for _, t in rows]
+    first = {}
+    for k in ranked:
+        for place, h in enumerate(pieces[k].hash.tolist()):
+            first.setdefault(h, (k, place))
+    out = []
+    for k, (_, t) in enumerate(rows):
+        p, gone = pieces[k], []
+        flags = [first[h] != (k, place) for place, h in enumerate(p.hash.tolist())]
+        i = 0
+        while i < len(flags):
+            j = i
+            while j < len(flags) and flags[j] == flags[i]:
+                j += 1
+            if flags[i] and p.words[i:j].sum() >= lines.MIN_WORDS:
+                gone += range(i, j)
+            i = j
+        out.append((k, gone))
+    return out
+
+
+def test_against_plain_python(spark):
+    rows = documents(seed=11, count=50) + odd()
+    out = lines.dedup(frame(spark, rows).coalesce(1)).collect()
+    expected = sorted((str(rows[k][0]), bool(gone)) for k, gone in brute(rows))
+    assert sorted((str(r["doc_id"]), r["n_removed"] > 0) for r in out) == expected
+    assert any(x for _, x in expected)
+    assert [r["text"] for r in out if r["doc_id"] == -1] == [None]
+
+
+def test_all_columns(spark):
+    docs = frame(spark, documents(seed=12, count=20) + odd())
+    left = lines.dedup_documents(docs)
+    assert left.columns == docs.columns and left.count() == docs.count()
+    assert lines.dedup_documents(frame(spark, [])).count() == 0 and lines.dedup(frame(spark, [])).count() == 0
