@@ -39,7 +39,7 @@ def test_hosts():
 
 def site(n, host="site.example"):
     """Pages without article elements whose frame has no telling names."""
-    return [(i, f"http://{host}/{i}", f"<body><div class=x1>Same words everywhere</div><div class=x2><p>Story {i} tells {i * 7}</p><p>And {i * i} more</p></div><div class=x3>All rights of the house</div></body>", "other") for i in range(n)]
+    return [(i, f"http://{host}/{i}", f"<body><div class=xa>Same words everywhere</div><div class=xb><p>Story {i} tells {i * 7}</p><p>And {i * i} more</p></div><div class=xc>All rights of the house</div></body>", "other") for i in range(n)]
 
 
 SCHEMA = "page_id long, url string, html string, HTML string"

@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__
 import corpus_pipeline
 from tidemark.llm import lines
-from tidemark.llm.common import stage
+from tidemark.llm.common import pick, stage
 
 from . import test_decontam, test_minmax
 from .corpus import documents, frame, odd
@@ -24,8 +24,7 @@ def test_stages(spark, tmp_path, empty):
     items = [(1, " ".join(text.split()[:20]))]
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     columns = ("doc_id", "text", "lang", "source", "n_chars")
-    stage(frame(spark, rows).select(*columns).coalesce(1), "in")
-    frame(spark, rows).select(*columns).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    pick(frame(spark, rows), doc_id="long", text="string", lang="string", source="string", n_chars="long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     docs, now = spark.read.parquet(f"{tmp_path}/documents.parquet"), rows
     for name, function in corpus_pipeline.STAGES:
         out = function(spark, docs, str(tmp_path))

@@ -125,6 +125,8 @@ def parse(source: str) -> Node:
                 if stack[i].tag == tag:
                     del stack[i:]
                     break
+            else:
+                stack[-1].parts.append(BREAK)
             continue
         if tag in _RAW:
             if not attributes.endswith("/"):

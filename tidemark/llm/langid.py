@@ -92,7 +92,8 @@ class Scorer:
         self.used = len(self.model.table)
         self.table = np.concatenate([self.model.table, np.zeros((MEMORY, len(self.model.languages)), np.float32)])
         known = self.table[: self.used]
-        known -= known.max(1, keepdims=True)
+        if known.size:
+            known -= known.max(1, keepdims=True)
 
     def sums(self, texts: list[list[str]]) -> np.ndarray:
         """Sums of the words' scores of each text."""
@@ -175,7 +176,10 @@ def model_of(languages: list[str], rows: list[tuple[str, str, int, int]]) -> Mod
     entries = {e: i for i, e in enumerate(sorted({r[1] for r in rows}))}
     column = {name: i for i, name in enumerate(languages)}
     counts = np.zeros((len(entries), len(languages)))
-    totals = {(e[:2], name): 1 for _, e, _, _ in rows for name in languages}
+    most: dict[str, int] = {}
+    for _, entry, _, total in rows:
+        most[entry[:2]] = max(total, most.get(entry[:2], 1))
+    totals = {(kind, name): n for kind, n in most.items() for name in languages}  # of kinds that a language has nothing of
     for lang, entry, n, total in rows:
         counts[entries[entry], column[lang]] = n
         totals[entry[:2], lang] = total
