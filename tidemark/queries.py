@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .functions.keys import entry_bytes
 from .model import UNBOUNDED, Bound, KeyRange, LeveledOptions, excluded, included
 from .operators import merge
 from .plans.compaction import Levels, pick
@@ -210,7 +211,7 @@ _MEMTABLE = 1000
 )
 def kv_memtable_bytes(spark, sf_dir):
     """Bytes written to each memtable of a thousand writes, overwrites counted."""
-    size = F.length("key") + F.length(F.coalesce("value", F.lit("")))
+    size = entry_bytes(F.col("key"), F.col("value"))
     return oplog(spark, sf_dir).groupBy(F.expr(f"seq div {_MEMTABLE}").alias("memtable")).agg(F.sum(size).alias("bytes"), F.count("*").alias("writes"))
 
 
