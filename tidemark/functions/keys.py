@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 def encode_long(column: Column) -> Column:
     """A long as eight bytes that sort as the numbers do (text would put 1000 before 150)."""
-    flipped = column.cast("long").bitwiseXOR(F.lit(-(2**63)))
+    flipped = column.cast("long").bitwiseXOR(F.expr("-9223372036854775807L - 1L"))
     return F.unhex(F.lpad(F.hex(flipped), 16, "0"))
 
 
@@ -18,7 +18,7 @@ def decode_long(column: Column) -> Column:
     """The inverse of encode_long()."""
     # conv() reads an unsigned number; negative longs come back through their decimal form
     unsigned = F.conv(F.hex(column), 16, 10).cast("decimal(20,0)")
-    return (unsigned - F.lit(2**63).cast("decimal(20,0)")).cast("long")
+    return (unsigned - F.lit("9223372036854775808").cast("decimal(20,0)")).cast("long")
 
 
 def entry_bytes(key: Column, value: Column) -> Column:
