@@ -53,6 +53,9 @@ def test_groups_are_split(spark, monkeypatch):
     assert result(minmax.components(frame(spark, rows))) == expected
     monkeypatch.setattr(minmax, "UNIT_SHINGLES", 600)  # eight parts or so
     assert result(minmax.components(frame(spark, rows))) == expected
+    monkeypatch.setattr(minmax, "UNIT_SHINGLES", 1 << 20)
+    monkeypatch.setattr(minmax, "UNIT_MEMBERS", 11)
+    assert result(minmax.components(frame(spark, rows))) == expected
 
 
 def test_all_columns_are_kept(spark):

@@ -38,6 +38,15 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return plain.select(*out)
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows with n, a number of each row.
+
+    Operators read their rows several times and join by n, so rows must be a plan that
+    gives the same rows in the same order each time: a table scan (stage() anything else).
+    """
+    return rows.withColumn("n", F.monotonically_increasing_id())
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares for checkpoints; set here only where it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

@@ -222,7 +222,7 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[str | None, str | None]
 
 def numbered(docs: DataFrame) -> DataFrame:
     """n, doc_id and text of each row."""
-    return common.pick(docs, doc_id="long", text="string").select(F.monotonically_increasing_id().alias("n"), "doc_id", "text")
+    return common.numbered(common.pick(docs, doc_id="long", text="string")).select("n", "doc_id", "text")
 
 
 def matches(rows: DataFrame, benchmark: DataFrame, slack: int = 0, missing: int = 0) -> DataFrame:
@@ -266,5 +266,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, all columns, that aren't contaminated."""
     bad = _verdicts(matches(numbered(docs), benchmark)).where("contaminated").select("n")
-    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).withColumn("n", F.monotonically_increasing_id())
+    plain = common.numbered(docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))))
     return plain.join(bad, "n", "left_anti").drop("n").toDF(*docs.columns)

@@ -70,7 +70,7 @@ class Pieces:
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    return common.pick(docs, doc_id="long", text="string").withColumn("n", F.monotonically_increasing_id())
+    return common.numbered(common.pick(docs, doc_id="long", text="string"))
 
 
 def pieces(rows: DataFrame) -> DataFrame:
@@ -140,8 +140,7 @@ def _deduped(rows: DataFrame) -> DataFrame:
 
 def dedup_documents(docs: DataFrame) -> DataFrame:
     """docs, all columns, with text (and n_chars, if there is one) of what is left."""
-    number = F.monotonically_increasing_id()
-    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).withColumn("n", number)
+    plain = common.numbered(docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))))
     at = {name: f"c{i}" for i, name in reversed(list(enumerate(docs.columns)))}
     rows = plain.select(F.col(at["doc_id"]).cast("long").alias("doc_id"), F.col(at["text"]).cast("string").alias("text"), "n")
     left = _deduped(rows).select("n", F.col("text").alias("left_text"))

@@ -8,8 +8,8 @@ probability (1 - 0.85**5)**25 < 5e-7. Every candidate is confirmed on full sets.
 Documents with equal sets are one class from the start. A class meets others
 through the least class of each bucket, its hub: the group of a hub is all classes
 that share a bucket with it where it is the least, so any two candidates of a bucket
-are in one group. A group is dealt out by its number of shingles: a group above
-UNIT_SHINGLES is cut in parts, and every pair of parts is a unit of work of bounded
+are in one group. A group is dealt out by its size: one above UNIT_SHINGLES or
+UNIT_MEMBERS is cut in parts, and every pair of parts is a unit of work of bounded
 size. In a unit only pairs not yet linked by others are confirmed, and a spanning
 forest of links leaves it, never all pairs. No group is capped.
 
@@ -38,7 +38,9 @@ ROWS = 5
 BANDS = 2 * PERMUTATIONS // ROWS
 #: 100 * intersection >= LEAST * union links two sets.
 LEAST = 85
+#: A part of a group has about so many shingles and members at most.
 UNIT_SHINGLES = 1 << 20
+UNIT_MEMBERS = 2_000
 
 _WORD = np.ones(256, bool)
 _WORD[[9, 10, 11, 12, 13, 32]] = False
@@ -177,8 +179,9 @@ def confirm(nodes: np.ndarray, sets: list[np.ndarray], side: np.ndarray) -> list
 def _units(groups: DataFrame, members: DataFrame) -> DataFrame:
     """(hub, unit, side, node, shingles): every pair of parts of every group."""
     sized = groups.join(members.select("node", "size"), "node")
-    parts = sized.groupBy("hub").agg(F.sum("size").alias("total"))
-    parts = parts.select("hub", F.ceil(F.col("total") / UNIT_SHINGLES).cast("int").alias("parts"))
+    parts = sized.groupBy("hub").agg(F.sum("size").alias("total"), F.count("*").alias("members"))
+    count = F.greatest(F.ceil(F.col("total") / UNIT_SHINGLES), F.ceil(F.col("members") / UNIT_MEMBERS))
+    parts = parts.select("hub", count.cast("int").alias("parts"))
     dealt = groups.join(parts, "hub").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct(F.least(x, "part").alias("i"), F.greatest(x, "part").alias("j")))
     split = dealt.withColumn("unit", F.explode(pairs))

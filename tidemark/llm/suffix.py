@@ -351,7 +351,7 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int | None = None, keep_bytes: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row and, if asked for, kept (the remaining bytes) and removed (byte spans)."""
-    rows = common.pick(docs, doc_id="long", text="string").withColumn("n", F.monotonically_increasing_id())
+    rows = common.numbered(common.pick(docs, doc_id="long", text="string"))
     spans = repeated_spans(rows.select("n", F.coalesce("text", F.lit("")).alias("text")), length, gram, group)
     lists = spans.groupBy("n").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, removed array<struct<start: long, end: long>>" * keep_bytes

@@ -97,7 +97,7 @@ def _with_roles(pages: DataFrame, least: int) -> DataFrame:
     payload that a third of all pages share is one row of the join's small side; the
     html itself is not shuffled by digest.
     """
-    rows = common.pick(pages, page_id="long", url="string", html="string").withColumn("n", F.monotonically_increasing_id())
+    rows = common.numbered(common.pick(pages, page_id="long", url="string", html="string"))
     binary = F.coalesce(F.encode("html", "UTF-8"), F.lit(b""))
     rows = rows.withColumn("size", F.length(binary).cast("long")).withColumn("sha1", F.sha1(binary))
     keys = rows.select("n", "page_id", "sha1", "size")
