@@ -55,14 +55,20 @@ def test_backing_off():
     assert scorer.predict("qqq") == ("x", 0.5)  # nothing known: the first
 
 
-def test_memory_is_emptied(monkeypatch):
-    monkeypatch.setattr(langid, "MEMORY", 5)
+def test_small_memory(monkeypatch):
     model = langid.model_of(["x", "y"], [("x", "w:known", 5, 10), ("y", "1:z", 3, 20), ("x", "1:a", 3, 20)])
-    scorer = langid.Scorer(model)
-    text = " ".join(f"{c}z" for c in "bcdefghijklmn") + " a"
-    big = langid.Scorer(langid.Model(model.languages, model.entries, model.table))
-    monkeypatch.setattr(langid, "MEMORY", 500)
-    assert scorer.predict(text)[0] == big.__class__(model).predict(text)[0] == "y"
+    text = " ".join(f"{c}z" for c in "bcdefghijklmn") + " a known"
+    large = langid.Scorer(model).sums([langid.words(text)])
+    monkeypatch.setattr(langid, "MEMORY", 5)
+    small = langid.Scorer(model)
+    for _ in range(3):
+        assert abs(small.sums([langid.words(text)]) - large).max() < 1e-4
+
+
+def test_words():
+    everything = "".join(map(chr, range(256)))
+    assert langid.words(everything) == langid._WORD.findall(everything.lower())
+    assert langid.words("Één Straße \u0416\u0437 x_1y") == ["één", "straße", "\u0436\u0437", "x", "y"]
 
 
 def test_odd_rows(spark):

@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 from . import common
 
 MATRIX_LEN = 1024
-#: Distinct pieces that a worker remembers; the memory is emptied beyond that.
-MEMORY = 400_000
+#: Distinct pieces that a worker remembers (under 200 bytes each); the memory is emptied beyond that.
+MEMORY = 250_000
 _NONE = np.int32(2**31 - 1)
 
 
@@ -48,7 +48,7 @@ class Codec:
         for b in range(256):
             self.single[b] = ranks[bytes([b])]
         self._hash_pairs()
-        self.memory: dict[bytes, tuple] = {}
+        self.memory: dict[bytes, bytes] = {}  # a piece's ids as 32-bit integers
 
     def _hash_pairs(self) -> None:
         """All (left, right) whose concatenation has a rank, by hashed key."""
@@ -188,24 +188,23 @@ class Codec:
                     out[i] = ids
         return out
 
-    def remember(self, pieces: set[bytes]) -> dict[bytes, tuple]:
-        """piece -> (ids, their decimal text), holding at least these; new ones are encoded together."""
+    def remember(self, pieces: set[bytes]) -> dict[bytes, bytes]:
+        """piece -> its ids (32-bit integers), holding at least these; new ones are encoded together."""
         memory = self.memory
         new = list(pieces.difference(memory))
         if len(memory) + len(new) > MEMORY:
             memory.clear()
             new = list(pieces)
-        digits = self.digits
-        for piece, ids in zip(new, self.encode_pieces(new)):
-            ids = tuple(ids.tolist())
-            memory[piece] = ids, b",".join([digits[i] for i in ids])
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
+            memory.update(zip(part, [ids.tobytes() for ids in self.encode_pieces(part)]))
         return memory
 
     def encode(self, text: str) -> list[int]:
         """Token ids of a text, without special tokens."""
         pieces = split_bytes(text.encode(), self.split)
         memory = self.remember(set(pieces))
-        return list(chain.from_iterable([memory[p][0] for p in pieces]))
+        return np.frombuffer(b"".join([memory[p] for p in pieces]), np.int32).tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         """The bytes that the ids stand for."""
@@ -307,17 +306,18 @@ def encode(docs: DataFrame, name: str = "byte_bpe_multi_50k.tiktoken", keep_ids:
         texts = [split_bytes(raw, c.split) for raw in common.utf8(batch, "text")]
         memory = c.remember(set(chain.from_iterable(texts)))
         for pieces in texts:
-            found = [memory[p] for p in pieces]
-            ids = list(chain.from_iterable([x[0] for x in found]))
+            raw = b"".join([memory[p] for p in pieces])
+            ids = np.frombuffer(raw, np.int32).tolist()
             n.append(len(ids))
-            ids_sha.append(hashlib.sha256(b",".join([x[1] for x in found])).hexdigest())
+            ids_sha.append(hashlib.sha256(b",".join(map(c.digits.__getitem__, ids))).hexdigest())
             text_sha.append(hashlib.sha256(c.decode(ids)).hexdigest())
             if keep_ids:
-                lists.append(ids)
+                lists.append(raw)
         columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
         names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
         if keep_ids:
-            columns.append(pa.array(lists, pa.list_(pa.int32())))
+            flat = pa.array(np.frombuffer(b"".join(lists), np.int32))
+            columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n, dtype=np.int64)]).astype(np.int32)), flat))
             names.append("ids")
         return pa.RecordBatch.from_arrays(columns, names)
 

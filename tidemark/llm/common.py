@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_LIBC = ctypes.CDLL(None)
+
 #: Text bytes that a Python worker holds at once, besides a single longer row.
 SLICE_BYTES = 4 << 20
 
@@ -99,10 +103,19 @@ def over_text(df: DataFrame, rows: Callable, schema: str, column: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, column, limit):
             yield rows(part)
+        release()
 
     return df.mapInArrow(run, schema)
 
 
+def release() -> None:
+    """Gives memory that a finished task leaves free back to the system: workers are used again by other operators."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (xor-shift and multiply)."""
     x = x ^ (x >> np.uint64(30))

@@ -7,8 +7,8 @@ at which any is known, and one that matches nothing says nothing. A document's
 score is the softmax of the sums over all its words.
 
 fit() learns from at most about PER_LANGUAGE labelled documents of each language
-(chosen by a hash of doc_id, whole texts), and keeps the WORDS and GRAMS most
-frequent entries of each language; these bounds make the model's size independent
+(chosen by a hash of doc_id, whole texts), and keeps the WORDS and (of each
+length) GRAMS most frequent entries of each language; these bounds make the model's size independent
 of the corpus, so it is broadcast.
 
 Null text, or text without a letter: language ``und``, score 0; so is every
@@ -23,6 +23,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,16 +33,16 @@ from pyspark.sql import functions as F
 
 from . import common
 
-PER_LANGUAGE = 3000
-WORDS = 30_000
-GRAMS = 12_000
+PER_LANGUAGE = 2000
+WORDS = 15_000
+GRAMS = 5_000
 LONGEST = 5
 #: Added to every count.
 SMOOTH = 0.5
 #: What an n-gram of an unseen word weighs against a known word.
 BACKOFF = 0.6
 #: Unseen words that a worker remembers the scores of.
-MEMORY = 200_000
+MEMORY = 150_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -50,9 +51,20 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
+def _latin_table() -> bytes:
+    """What each Latin-1 character is to words(): itself in lower case, or a blank between words."""
+    return b"".join((c.lower() if _WORD.fullmatch(c) else " ").encode("latin-1") for c in map(chr, range(256)))
+
+
+_LATIN = _latin_table()
+
+
 def words(text: str) -> list[str]:
-    """Lower-case runs of letters."""
-    return _WORD.findall(text.lower())
+    """Lower-case runs of letters. Latin-1 texts, by a table, have the same words as others."""
+    try:
+        return text.encode("latin-1").translate(_LATIN).decode("latin-1").split()
+    except UnicodeEncodeError:
+        return _WORD.findall(text.lower())
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -69,16 +81,6 @@ class Model:
     def __init__(self, languages: list[str], entries: dict[str, int], table: np.ndarray):
         self.languages, self.entries, self.table = languages, entries, table
 
-    def unseen(self, word: str) -> np.ndarray:
-        """Scores of a word that isn't known."""
-        get = self.entries.get
-        for n in range(min(LONGEST, len(word) + 2), 0, -1):
-            rows = [r for g in grams(word, n) if (r := get(f"{n}:{g}")) is not None]
-            if rows:
-                scores = self.table[rows].mean(0)
-                return ((scores - scores.max()) * BACKOFF).astype(np.float32)
-        return np.zeros(len(self.languages), np.float32)
-
 
 class Scorer:
     """Scores texts by a model, remembering unseen words."""
@@ -88,41 +90,82 @@ class Scorer:
         self._reset()
 
     def _reset(self) -> None:
-        self.rows = {k[2:]: v for k, v in self.model.entries.items() if k.startswith("w:")}
+        entries = self.model.entries
+        self.rows = {k[2:]: v for k, v in entries.items() if k.startswith("w:")}
+        self.grams = [{k[2:]: v for k, v in entries.items() if k.startswith(f"{n}:")} for n in range(LONGEST + 1)]
         self.used = len(self.model.table)
         self.table = np.concatenate([self.model.table, np.zeros((MEMORY, len(self.model.languages)), np.float32)])
         known = self.table[: self.used]
         if known.size:
             known -= known.max(1, keepdims=True)
 
+    def _known_grams(self, word: str) -> list[int]:
+        """Entries of the word's n-grams of the greatest length at which any is known."""
+        framed = f" {word} "
+        for n in range(min(LONGEST, len(framed)), 0, -1):
+            get = self.grams[n].get
+            if n == 1:
+                framed = word
+            found = [r for i in range(len(framed) - n + 1) if (r := get(framed[i : i + n])) is not None]
+            if found:
+                return found
+        return []
+
+    def unseen(self, new: list[str]) -> np.ndarray:
+        """Scores of words that aren't known."""
+        lists = [self._known_grams(w) for w in new]
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        out = np.zeros((len(new), len(self.model.languages)), np.float32)
+        some = sizes > 0
+        if some.any():
+            flat = np.fromiter(chain.from_iterable(lists), np.int64, int(sizes.sum()))
+            starts = np.cumsum(sizes[some]) - sizes[some]
+            means = np.add.reduceat(self.model.table[flat], starts, axis=0) / sizes[some, None]
+            out[some] = (means - means.max(1, keepdims=True)) * BACKOFF
+        return out
+
     def sums(self, texts: list[list[str]]) -> np.ndarray:
         """Sums of the words' scores of each text."""
+        new = list(set(chain.from_iterable(texts)).difference(self.rows))
+        if self.used + len(new) > len(self.table):
+            self._reset()
+            new = list(set(chain.from_iterable(texts)).difference(self.rows))
+        room = len(self.table) - self.used
+        extra: dict[str, np.ndarray] = {}
+        for at in range(0, len(new), 10_000):
+            part = new[at : at + 10_000]
+            scores = self.unseen(part)
+            fit = max(0, min(len(part), room - at))
+            self.table[self.used : self.used + fit] = scores[:fit]
+            self.rows.update(zip(part[:fit], range(self.used, self.used + fit)))
+            self.used += fit
+            extra.update(zip(part[fit:], scores[fit:]))  # more unseen words than the memory holds
         out = np.zeros((len(texts), len(self.model.languages)), np.float64)
+        rows = self.rows
         for i, ws in enumerate(texts):
-            new = set(ws).difference(self.rows)
-            if self.used + len(new) > len(self.table):
-                self._reset()
-                new = set(ws).difference(self.rows)
-            for k, w in enumerate(new):
-                if self.used == len(self.table):  # one text with more unseen words than the memory holds
-                    break
-                self.table[self.used] = self.model.unseen(w)
-                self.rows[w] = self.used
-                self.used += 1
-            get = self.rows.get
-            at = np.fromiter((get(w, -1) for w in ws), np.int64, len(ws))
-            out[i] = self.table[at[at >= 0]].sum(0, dtype=np.float64)
-            for k in np.flatnonzero(at < 0).tolist():
-                out[i] += self.model.unseen(ws[k])
+            if extra:
+                out[i] = sum((extra[w] if w in extra else self.table[rows[w]] for w in ws), np.zeros(out.shape[1]))
+            elif ws:
+                out[i] = self.table[[rows[w] for w in ws]].sum(0, dtype=np.float64)
+        return out
+
+    def predict_all(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Language and score of each text."""
+        split = [words(t) if t and self.model.languages and any(c.isalpha() for c in t) else None for t in texts]
+        sums = iter(self.sums([ws for ws in split if ws is not None]))
+        out = []
+        for ws in split:
+            if ws is None:
+                out.append(("und", 0.0))
+                continue
+            s = next(sums)
+            best = int(s.argmax())
+            out.append((self.model.languages[best], float(1 / np.exp(s - s[best]).sum())))
         return out
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """Language and score of one text."""
-        if not text or not self.model.languages or not any(c.isalpha() for c in text):
-            return "und", 0.0
-        s = self.sums([words(text)])[0]
-        best = int(s.argmax())
-        return self.model.languages[best], float(1 / np.exp(s - s[best]).sum())
+        return self.predict_all([text])[0]
 
 
 def _counts(sample: DataFrame) -> DataFrame:
@@ -198,7 +241,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         if not scorer:
             scorer.append(Scorer(Model(*held.value)))
-        found = [scorer[0].predict(t) for t in batch.column(2).to_pylist()]
+        found = scorer[0].predict_all(batch.column(2).to_pylist())
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     picked = common.pick(docs, doc_id="long", text="string").select("doc_id", held_out().alias("held_out"), "text")
@@ -216,7 +259,7 @@ def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
         if not scorer:
             scorer.append(Scorer(Model(*held.value)))
         for part in common.slices(batches, f"c{at}"):
-            keep = [scorer[0].predict(t)[0] != "und" for t in part.column(at).to_pylist()]
+            keep = [lang != "und" for lang, _ in scorer[0].predict_all(part.column(at).to_pylist())]
             yield part.filter(pa.array(keep, pa.bool_()))
 
     return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
