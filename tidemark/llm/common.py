@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 _LIBC = ctypes.CDLL(None)
 
 #: Text bytes that a Python worker holds at once, besides a single longer row.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
