@@ -234,7 +234,8 @@ def near_links(rows: DataFrame, sketched: DataFrame) -> DataFrame:
     nodes = common.stage(classes.agg(F.min("doc_id").alias("node"), F.max("bands").alias("bands")), "classes")
     keys = common.stage(nodes.select("node", F.explode("bands").alias("key")), "bands")
     hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("c")).where("c > 1").select("key", "hub")
-    groups = common.stage(keys.join(hubs, "key").select("hub", "node").distinct(), "groups")
+    # staged, so that both sides of the join come from exchanges and a hot bucket can be split
+    groups = common.stage(keys.join(common.stage(hubs, "hubs"), "key").select("hub", "node").distinct(), "groups")
     wanted = groups.select("node").distinct().join(nodes.select("node", "digest"), "node")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -260,7 +261,7 @@ def _components(rows: DataFrame, sketched: DataFrame) -> DataFrame:
     # copies link to the least id of their class, and an id with several texts links its classes
     real = sketched.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     named = real.groupBy("digest").agg(F.min("doc_id").alias("node"))
-    copies = real.select("doc_id", "digest").join(named, "digest").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    copies = real.select("doc_id", "digest").join(common.stage(named, "named"), "digest").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     found = graph.components(near_links(rows, sketched).unionByName(copies))
     labelled = sketched.select("doc_id", "size").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
