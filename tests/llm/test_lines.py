@@ -69,3 +69,39 @@ def test_all_columns(spark):
     left = lines.dedup_documents(docs)
     assert left.columns == docs.columns and left.count() == docs.count()
     assert lines.dedup_documents(frame(spark, [])).count() == 0 and lines.dedup(frame(spark, [])).count() == 0
+
+
+def test_short_lines_of_earlier_documents_go(spark):
+    g = random.Random(9)
+    unique = [sentence(g, 25) for _ in range(8)]
+    licence, chinese = "See the file COPYING for terms.", "同じ行" * 40
+    rows = [(i, f"{unique[2 * i]}\n{licence}\n{chinese}\n{unique[2 * i + 1]}") for i in range(3)] + [(3, f"{unique[6]}\n{chinese}\nx\n{chinese}\n{unique[7]}"), (4, f"see  the file copying for TERMS.\n{unique[6]} but longer"), (None, licence)]
+    out = {r["doc_id"]: r["text"] for r in lines.dedup(frame(spark, rows)).collect()}
+    assert out[0] == rows[0][1]
+    assert [out[i] for i in (1, 2)] == [f"{unique[2 * i]}\n{unique[2 * i + 1]}" for i in (1, 2)]
+    assert out[3] == f"{unique[6]}\nx\n{unique[7]}"
+    assert "file" not in out[4] and out[4].endswith("but longer") and out[None] == ""
+
+
+def test_long_lines_of_one_document_go(spark):
+    blob = "QUJD" * 30
+    (row,) = lines.dedup(frame(spark, [(1, f"{blob}\nshort line\n{blob}\nshort line")])).collect()
+    assert row["text"] == f"{blob}\nshort line\nshort line"
+
+
+def test_short_lines_of_earlier_rows_go(spark):
+    g = random.Random(9)
+    unique = [sentence(g, 25) for _ in range(8)]
+    licence, chinese = "See the file COPYING for terms.", "同じ行" * 40
+    rows = [(i, f"{unique[2 * i]}\n{licence}\n{chinese}\n{unique[2 * i + 1]}") for i in range(3)]
+    rows += [(3, f"{unique[6]}\nx\n{chinese}\ny"), (4, f"see  the file copying for TERMS.\n{unique[7]}"), (None, licence)]
+    out = {r["doc_id"]: r["text"] for r in lines.dedup(frame(spark, rows)).collect()}
+    assert out[0] == rows[0][1]
+    assert [out[i] for i in (1, 2)] == [f"{unique[2 * i]}\n{unique[2 * i + 1]}" for i in (1, 2)]
+    assert out[3] == f"{unique[6]}\nx\ny" and out[4] == unique[7] and out[None] == ""
+
+
+def test_long_lines_of_one_row_go(spark):
+    blob = "QUJD" * 30
+    (row,) = lines.dedup(frame(spark, [(1, f"{blob}\nshort line\n{blob}\nshort line")])).collect()
+    assert row["text"] == f"{blob}\nshort line\nshort line"

@@ -5,9 +5,11 @@ begins a piece if its hash is the least among its neighbours within REACH words,
 that a passage pasted into different lines has the same pieces but for its edges.
 Units are normalised (ASCII case, white space) and hashed, digests are grouped
 over all documents, and the occurrence with the smallest (doc_id, row, place)
-stays. Later ones go where they stand in a run of repeated pieces of at least
-MIN_WORDS words, so that short common lines and phrases stay. Offsets of what was
-removed are those of the original text, in code points.
+stays. A line that an earlier row holds goes whatever its length; one that only its
+own row holds above goes from MIN_BYTES bytes or MIN_WORDS words on. Later pieces go
+where they stand in a run of repeated pieces of at least MIN_WORDS words, so that
+common phrases stay. Offsets of what was removed are those of the original text, in
+code points.
 
 Null text stays null with nothing removed; empty text stays empty. Null doc_ids
 rank after all others. Of repeated rows the first in input order keeps its text.
@@ -27,6 +29,11 @@ from . import common
 
 REACH = 4
 MIN_WORDS = 16
+#: Least length of a line that goes because its own row holds it above.
+MIN_BYTES = 80
+
+#: Keeps digests of lines apart from those of pieces.
+_LINE = np.uint64(0x2545F4914F6CDD1D)
 
 _WORD = np.ones(256, bool)
 _WORD[[9, 10, 11, 12, 13, 32]] = False
@@ -35,7 +42,10 @@ _LOWER[65:91] += 32
 
 
 class Pieces:
-    """The pieces of one batch of texts: arrays over pieces, in order."""
+    """The units of one batch of texts: arrays over units; of each text first its pieces, then its lines.
+
+    words: what a unit counts for against MIN_WORDS. A line is enough by itself.
+    """
 
     def __init__(self, texts: list[bytes]):
         raw = b"\n".join(texts) + b"\n"
@@ -54,19 +64,25 @@ class Pieces:
             same = lines[d:] == lines[:-d]
             cut[d:] &= (order[d:] < order[:-d]) | ~same
             cut[:-d] &= (order[:-d] <= order[d:]) | ~same
+        heads = np.flatnonzero(begins)
         first = np.flatnonzero(cut | begins)
-        last = np.append(first[1:], n)
-        self.words = last - first
-        self.start = starts[first]
-        self.end = ends[last - 1] if n else starts[first]
-        self.head = begins[first]  # begins its line
         up, down = common.powers(n + 1)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(hashes * up[:n], out=sums[1:])
-        self.hash = common.mix((sums[last] - sums[first]) * down[first] + self.words.astype(np.uint64)).view(np.int64)
-        self.text = np.searchsorted(self.offsets, self.start, "right") - 1
-        self.first_of = np.searchsorted(self.text, np.arange(len(texts)))
-        self.place = np.arange(len(first)) - self.first_of[self.text] if len(first) else first
+        self.starts, self.ends = starts, ends
+        self.head = begins  # of each word: begins its line
+        self.word_of = np.searchsorted(starts, self.offsets)  # the first word of each text, and the number of words
+        a = np.concatenate([first, heads])
+        b = np.concatenate([np.append(first, n)[1:], np.append(heads, n)[1:]])
+        whole = np.arange(len(a)) >= len(first)
+        text = np.searchsorted(self.offsets, starts[a], "right") - 1
+        unit = np.argsort(text, kind="stable")
+        self.a, self.b, self.whole, self.text = a[unit], b[unit], whole[unit], text[unit]
+        sizes = self.b - self.a
+        self.hash = common.mix((sums[self.b] - sums[self.a]) * down[self.a] + sizes.astype(np.uint64) ^ np.where(self.whole, _LINE, np.uint64(0))).view(np.int64)
+        self.words = np.where(self.whole, np.maximum(sizes, MIN_WORDS), sizes)
+        self.first_of = np.searchsorted(self.text, np.arange(len(texts) + 1))
+        self.place = np.arange(len(self.a)) - self.first_of[self.text]
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -74,7 +90,7 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 
 def pieces(rows: DataFrame) -> DataFrame:
-    """(h, doc_id, n, place) of every piece."""
+    """(h, doc_id, n, place) of every piece and line."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         p = Pieces(common.utf8(batch, "text"))
@@ -85,21 +101,36 @@ def pieces(rows: DataFrame) -> DataFrame:
     return common.over_text(rows, run, "h long, doc_id long, n long, place int")
 
 
-def _cut(text: bytes, p: Pieces, i: int, gone: np.ndarray) -> tuple[bytes, list[tuple[int, int]]]:
-    """The text without runs of repeated pieces, and the runs' byte spans."""
-    a, b = p.first_of[i], p.first_of[i + 1] if i + 1 < len(p.first_of) else len(p.hash)
-    flags = np.zeros(b - a, np.int8)
-    flags[gone] = 1
+def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     edge = np.diff(flags, prepend=0, append=0)
-    base, spans = p.offsets[i], []
-    for s, e in zip((np.flatnonzero(edge == 1) + a).tolist(), (np.flatnonzero(edge == -1) + a).tolist()):
-        if p.words[s:e].sum() < MIN_WORDS:
-            continue
-        # up to the next piece, so that the blank or line end behind the run goes too
-        stop = p.start[e] - base if e < b else len(text)
-        if e < b and p.head[e] and not p.head[s]:
-            stop = p.end[e - 1] - base  # the line's beginning stays, and so does its end
-        spans.append((int(p.start[s] - base), int(stop)))
+    return list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()))
+
+
+def _cut(text: bytes, p: Pieces, i: int, gone: np.ndarray, own: np.ndarray) -> tuple[bytes, list[tuple[int, int]]]:
+    """The text without repeated lines and runs of repeated pieces, and their byte spans.
+
+    gone: places of repeated units; own: of those that the same row holds above.
+    """
+    w0, w1, base = p.word_of[i], p.word_of[i + 1], p.offsets[i]
+    flags, gone_words = np.zeros(w1 - w0, np.int8), np.zeros(w1 - w0, np.int8)
+    for places, again in ((gone, False), (own, True)):
+        for k in (places + p.first_of[i]).tolist():
+            a, b = p.a[k], p.b[k]
+            if not p.whole[k]:
+                flags[a - w0 : b - w0] = 1
+            elif not again or b - a >= MIN_WORDS or p.ends[b - 1] - p.starts[a] >= MIN_BYTES:
+                gone_words[a - w0 : b - w0] = 1
+    for s, e in _runs(flags):
+        if e - s >= MIN_WORDS:
+            gone_words[s:e] = 1
+    spans = []
+    for s, e in _runs(gone_words):
+        s, e = s + w0, e + w0
+        # up to the next word, so that the blank or line end behind the run goes too
+        stop = p.starts[e] - base if e < w1 else len(text)
+        if e < w1 and p.head[e] and not p.head[s]:
+            stop = p.ends[e - 1] - base  # the line's beginning stays, and so does its end
+        spans.append((int(p.starts[s] - base), int(stop)))
     kept, at = [], 0
     for s, e in spans:
         kept.append(text[at:s])
@@ -117,24 +148,25 @@ def _deduped(rows: DataFrame) -> DataFrame:
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "n", "place")
     repeated = found.groupBy("h").agg(F.count("*").alias("c"), F.min(rank).alias("first")).where("c > 1").select("h", "first")
     later = found.join(repeated, "h").where(~((F.col("first.n") == F.col("n")) & (F.col("first.place") == F.col("place"))))
-    gone = later.groupBy("n").agg(F.collect_list("place").alias("gone"))
+    same = F.col("first.n") == F.col("n")
+    gone = later.groupBy("n").agg(F.collect_list(F.when(~same, F.col("place"))).alias("gone"), F.collect_list(F.when(same, F.col("place"))).alias("own"))
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, lists = common.utf8(batch, "text"), batch.column(3).to_pylist()
+        texts, lists, own = common.utf8(batch, "text"), batch.column(3).to_pylist(), batch.column(4).to_pylist()
         valid = batch.column(1).is_valid().to_pylist()
-        marked = [i for i, g in enumerate(lists) if g]
+        marked = [i for i, g in enumerate(lists) if g or own[i]]
         p = Pieces([texts[i] for i in marked]) if marked else None
         out, counts, removed = [t if ok else None for t, ok in zip(texts, valid)], [0] * len(texts), [[] for _ in texts]
         for k, i in enumerate(marked):
-            out[i], spans = _cut(texts[i], p, k, np.array(lists[i]))
+            out[i], spans = _cut(texts[i], p, k, np.array(lists[i], np.int64), np.array(own[i], np.int64))
             points = np.concatenate([[0], np.cumsum((np.frombuffer(texts[i], np.uint8) & 0xC0) != 0x80)])
             removed[i] = [{"start": int(points[s]), "end": int(points[e])} for s, e in spans]
             counts[i] = sum(x["end"] - x["start"] for x in removed[i])
         left = pa.array([None if t is None else t.decode() for t in out], pa.string())
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), left, pa.array(counts, pa.int64()), pa.array(removed, kind)], ["doc_id", "n", "text", "n_removed", "removed"])
 
-    joined = rows.join(gone, "n", "left").select("doc_id", "text", "n", "gone")
+    joined = rows.join(gone, "n", "left").select("doc_id", "text", "n", "gone", "own")
     return common.over_text(joined, run, "doc_id long, n long, text string, n_removed long, removed array<struct<start: long, end: long>>")
 
 
