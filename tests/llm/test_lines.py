@@ -105,3 +105,16 @@ def test_long_lines_of_one_row_go(spark):
     blob = "QUJD" * 30
     (row,) = lines.dedup(frame(spark, [(1, f"{blob}\nshort line\n{blob}\nshort line")])).collect()
     assert row["text"] == f"{blob}\nshort line\nshort line"
+
+
+def test_passages_of_51_words_go_whole(spark):
+    g = random.Random(10)
+    passages = [sentence(g, 51, 4000) for _ in range(30)]
+    passages += [" ".join(g.choice("abc"[: 1 + k % 3]) for _ in range(51)) for k in range(9)] + [f"{sentence(g, 20)}\n{sentence(g, 31)}"]
+    rows = []
+    for k, p in enumerate(passages):
+        rows += [(2 * k, f"one{k} two{k} {p} three{k}"), (2 * k + 1, f"{' '.join(f'q{k}.{i}' for i in range(9))} {p} four{k} five{k}")]
+    left = {r["doc_id"]: r["text"].split() for r in lines.dedup(frame(spark, rows)).collect()}
+    for k in range(len(passages)):
+        assert left[2 * k + 1] == [*(f"q{k}.{i}" for i in range(9)), f"four{k}", f"five{k}"], k
+    assert all(len(left[2 * k]) == 54 for k in range(30))
