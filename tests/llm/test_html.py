@@ -67,3 +67,17 @@ def test_composite():
     tree = [{"path": 1, "parent": 0, "importance": 0.0}, {"path": 2, "parent": 1, "importance": 1.0}, {"path": 3, "parent": 1, "importance": 0.0}]
     out = h.composite(tree)
     assert out[2] == 1 and out[3] == 0 and out[1] == pytest.approx(0.45)
+
+
+def test_all_main_containers_are_kept():
+    several = "<div class=post><p>one</p></div><div class=ad>no</div><section id=story><p>two</p></section><div class=entry><div class=content>three</div></div>"
+    assert h.main_text(h.parse(several), {}, 1) == "one two three"
+    footer = "<div class=content><p>text</p></div><footer><div class=content>small print</div></footer><div class=sidebar><div class=post>teaser</div></div>"
+    assert h.main_text(h.parse(footer), {}, 1) == "text"
+    assert h.main_text(h.parse("<main>a</main><p>x</p><main>b</main><div role=main>c</div>"), {}, 1) == "a b c"
+
+
+def test_importance_decides_among_main_containers(spark):
+    rows = [(i, "http://a.example/", f"<div class=content>same on every page</div><div class=story><p>Story {i}</p></div><div class=post><p>More {i}</p></div>", None) for i in range(12)]
+    out = {r["page_id"]: r["text"] for r in h.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert out == {i: f"Story {i} More {i}" for i in range(12)}

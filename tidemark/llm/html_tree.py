@@ -213,28 +213,32 @@ def _furniture(node: Node, inside: bool) -> bool:
 
 
 def _mains(root: Node) -> list[Node]:
-    """Outermost article, main or role=main elements outside of furniture; articles in a main come first."""
+    """A page's articles or, if it has none, its main elements and containers named like one: all that are outermost and outside of furniture, in page order."""
     found: dict[str, list[Node]] = {"article": [], "main": []}
-    todo: list[tuple[Node, bool]] = [(root, False)]
+    outermost: list[Node] = []
+    todo: list[tuple[Node, bool, bool]] = [(root, False, False)]
     while todo:
-        node, inside = todo.pop()
+        node, inside, held = todo.pop()
         kind = "main" if node.role == "main" else node.tag
-        if node.tag not in ("", "html", "body") and _furniture(node, inside) and kind != "main":
+        named = node.tag in ("div", "section") and bool(_MAIN_WORDS.intersection(node.words))
+        if node.tag not in ("", "html", "body") and _furniture(node, inside or named) and kind != "main":
             continue
         if kind in found:
             found[kind].append(node)
             if kind == "article":
                 continue
-        todo += [(c, inside or kind in found) for c in reversed(_children(node))]
-    if found["article"]:
-        return found["article"]
-    named = [n for n, _ in walk(root) if n.tag in ("div", "section") and _MAIN_WORDS.intersection(n.words) and not _furniture(n, True)]
-    return found["main"][:1] or named[:1] if len(found["main"]) + len(named) else []
+        if (kind == "main" or named) and not held:
+            outermost.append(node)
+            held = True
+        todo += [(c, inside or kind in found, held) for c in reversed(_children(node))]
+    return found["article"] or outermost
 
 
 def main_text(root: Node, importance: dict[int, float], pages: int) -> str:
     """A page's text without furniture and branches of low importance."""
     mains = _mains(root)
+    # of several named containers those count that not every page repeats, or else all
+    mains = [n for n in mains if n.tag in ("article", "main") or importance.get(n.path, 1.0) >= LOW] or mains
     chosen = {id(n) for n in mains}
     holds = set()  # nodes above the chosen ones
     if mains:
