@@ -81,3 +81,17 @@ def test_importance_decides_among_main_containers(spark):
     rows = [(i, "http://a.example/", f"<div class=content>same on every page</div><div class=story><p>Story {i}</p></div><div class=post><p>More {i}</p></div>", None) for i in range(12)]
     out = {r["page_id"]: r["text"] for r in h.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert out == {i: f"Story {i} More {i}" for i in range(12)}
+
+
+def test_rare_section_of_a_large_host(spark):
+    rows = [(i, "http://big.example/", f"<body><div class=xa><p>Words {i}</p></div></body>", None) for i in range(600)]
+    rows += [(600 + i, "http://big.example/", f"<body><div class=ya>Same in this section</div><div class=yb><p>Story {i}</p></div></body>", None) for i in range(4)]
+    out = {r["page_id"]: r["text"] for r in h.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [out[600 + i] for i in range(4)] == [f"Story {i}" for i in range(4)] and out[5] == "Words 5"
+
+
+def test_small_hosts_and_copies(spark):
+    page = "<article><p>text {0}</p><div class=xz>Same below every text</div></article>"
+    rows = [(i, "http://small.example/", page.format(i), None) for i in range(3)] + [(10 + i, "http://copies.example/", page.format(0), None) for i in range(12)]
+    out = {r["page_id"]: r["text"] for r in h.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert out == {i: f"text {i}" for i in range(3)} | {10 + i: "text 0 Same below every text" for i in range(12)}

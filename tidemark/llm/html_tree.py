@@ -3,19 +3,20 @@
 The pages of a host are merged into one tree: a node is a path of block elements
 (tag with normalised class and id), its presentation is the sequence of its
 children's styles, its content the hashes of its text blocks. A node's importance is
-the entropy of its presentations over the host's pages or, where it holds text, one
-minus the mean of log_m(c) for texts that c of the m pages share: what every page
-repeats is worth nothing, what one page alone has is worth one. A branch's composite
+the entropy of its presentations over the m pages of the host that have it or, where it
+holds text, one minus the mean of log_m(c) for texts that c of them share: what every such
+page repeats is worth nothing, what one page alone has is worth one. Equal pages count once. A branch's composite
 importance mixes its own with its children's, as depth lets them count.
 
 From each page go the branches that are furniture by element, role or name
 (navigation, advert, form, comments, ...) and those of low composite importance. A
 page's article or main element is where text is looked for; inside it, paragraphs and
 headings are never taken for furniture by entropy (copies of a page on one host would
-lose their text) and other branches are only on hosts of MANY pages.
+lose their text), other branches are.
 
-Only counts are gathered by host, so a host with a third of all pages is pre-aggregated
-like any other; of its paths those on a hundredth of its pages at least are kept.
+Only counts are gathered by host, so a host with a third of all pages is aggregated like
+any other. All paths that two pages have are kept, however large the host: a host's tree
+is one row.
 
 Null or empty html has empty text. A null url is a host of its own. Unclosed and
 unmatched tags are tolerated. Rows are kept as they are, repeated ones too; a null
@@ -37,8 +38,6 @@ from . import common
 
 LOW = 0.2
 DEPTH_WEIGHT = 0.9
-MANY = 8
-SHARE = 0.01
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -257,7 +256,7 @@ def main_text(root: Node, importance: dict[int, float], pages: int) -> str:
             return False
         value = importance.get(node.path, 1.0)
         if inside or node.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "html", "body", ""):
-            sure = node.tag in ("div", "section", "ul", "ol", "table", "dl") and pages >= MANY
+            sure = node.tag in ("div", "section", "ul", "ol", "table", "dl") and pages > 1
             return not (inside and sure and value < LOW / 2)
         return value >= LOW
 
@@ -304,19 +303,20 @@ def _flat(node: Node, out: list[str]) -> None:
 def style_tree(pages: DataFrame) -> DataFrame:
     """One row per host: pages, and its paths with their own importance, from counts over all its pages.
 
-    Columns: host, pages, tree array<struct<path, parent, importance>>.
+    Columns: host, pages, tree array<struct<path, parent, importance, once>>; once: children of one page alone.
     """
-    schema = "host string, path long, parent long, kind string, feature long"
+    schema = "host string, page long, path long, parent long, kind string, feature long"
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows: list[tuple] = []
         for url, source in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            rows += [(host(url), *f) for f in features(parse(source or ""))]
+            page = _hash(source or "")
+            rows += [(host(url), page, *f) for f in features(parse(source or ""))]
         columns = zip(*rows)
-        kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64())
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [x.split()[0] for x in schema.split(", ")])
 
-    found = common.over_text(pages, run, schema, column="html")
+    found = common.over_text(pages, run, schema, column="html").distinct()
     counts = found.groupBy("host", "path", "parent", "kind", "feature").agg(F.count("*").cast("double").alias("c"))
     own = counts.groupBy("host", "path", "parent").agg(
         F.sum(F.when(F.col("kind") == "S", F.col("c"))).alias("n"),
@@ -324,20 +324,23 @@ def style_tree(pages: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("kind") == "T", F.col("c"))).alias("t"),
         F.sum(F.when(F.col("kind") == "T", F.col("c") * F.log("c"))).alias("u"),
     )
-    # the root is on every page, once
-    size = counts.where((F.col("kind") == "S") & (F.col("parent") == 0)).groupBy("host").agg(F.sum("c").alias("pages"))
-    both = own.join(size, "host")
-    base = F.log(F.greatest("pages", F.lit(2.0)))
+    base = F.log(F.greatest("n", F.lit(2.0)))
     presentation = (F.log("n") - F.col("s") / F.col("n")) / base
-    content = 1 - F.col("u") / F.col("t") / base
-    importance = F.when(F.col("pages") < 2, F.lit(1.0)).when(F.col("t").isNotNull(), content).otherwise(presentation)
-    kept = both.where(F.col("n") >= F.col("pages") * SHARE).select("host", "pages", F.struct("path", "parent", importance.alias("importance")).alias("x"))
-    return kept.groupBy("host").agg(F.max("pages").cast("long").alias("pages"), F.collect_list("x").alias("tree"))
+    content = F.greatest(F.lit(0.0), 1 - F.col("u") / F.col("t") / base)
+    importance = F.when(F.col("t").isNotNull(), content).otherwise(presentation)
+    # what one page alone has counts for its parent, as worth one
+    own = common.stage(own.withColumn("alone", F.col("n") < 2), "paths")
+    alone = own.where("alone").groupBy("host", F.col("parent").alias("path")).agg(F.count("*").alias("once"))
+    kept = own.where(~F.col("alone")).join(alone, ["host", "path"], "left")
+    trees = kept.select("host", F.struct("path", "parent", importance.alias("importance"), F.coalesce("once", F.lit(0)).alias("once")).alias("x")).groupBy("host").agg(F.collect_list("x").alias("tree"))
+    size = own.where("parent = 0").select("host", F.col("n").cast("long").alias("pages"))  # the root is on every page, once
+    return size.join(trees, "host", "left").select("host", "pages", "tree")
 
 
 def composite(tree: list[dict]) -> dict[int, float]:
     """Composite importance of each path: its own and, the less the deeper it stands, its children's mean."""
     own = {x["path"]: x["importance"] for x in tree}
+    once = {x["path"]: x.get("once", 0) for x in tree}
     below: dict[int, list[int]] = {}
     for x in tree:
         if x["parent"] in own:
@@ -350,8 +353,9 @@ def composite(tree: list[dict]) -> dict[int, float]:
         todo += [(c, depth + 1) for c in below.get(path, ())]
     for path, depth in reversed(order):
         inner = [out[c] for c in below.get(path, ())]
-        weight = DEPTH_WEIGHT**depth if inner else 0
-        out[path] = (1 - weight) * own[path] + (weight * sum(inner) / len(inner) if inner else 0)
+        total, many = sum(inner) + once.get(path, 0), len(inner) + once.get(path, 0)
+        weight = DEPTH_WEIGHT**depth if many else 0
+        out[path] = (1 - weight) * own[path] + (weight * total / many if many else 0)
     return out
 
 
