@@ -79,3 +79,10 @@ def test_proximity(spark):
     benchmark = spark.createDataFrame([(7, item)], "item_id long, text string")
     assert {r["doc_id"]: r["items"] for r in decontam.near(docs, benchmark).collect()} == {1: ["7"], 2: ["7"], 3: []}
     assert {r["doc_id"]: r["n_items"] for r in decontam.contamination(docs, benchmark).collect()} == {1: 1, 2: 0, 3: 0}
+
+
+def test_proximity_with_terms_that_no_document_holds(spark):
+    item = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    docs = frame(spark, [(1, item.replace("four", "quatre").replace("nine", "neuf")), (2, item.replace("four", "a").replace("nine", "b").replace("two", "c"))])
+    benchmark = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert {r["doc_id"]: r["items"] for r in decontam.near(docs, benchmark).collect()} == {1: ["7"], 2: []}

@@ -67,12 +67,12 @@ class Queries:
         self.terms = np.array(sorted(least), np.uint64)
         self.least = np.array([least[t] for t in sorted(least)], np.int64)  # the shortest window with the term
 
-    def plan(self, counts: dict[int, int]) -> list[list[tuple[int, int]]]:
-        """For each window its (term, offset) pairs, rarest first; empty if a term has no posting."""
+    def plan(self, counts: dict[int, int], missing: int = 0) -> list[list[tuple[int, int]]]:
+        """For each window its (term, offset) pairs, rarest first; empty if more than ``missing`` terms have no posting."""
         out = []
         for w in self.windows:
             order = sorted(range(len(w)), key=lambda i: (counts.get(w[i], 0), w[i], i))
-            out.append([(w[i], i) for i in order] if counts.get(w[order[0]], 0) else [])
+            out.append([(w[i], i) for i in order] if counts.get(w[order[min(missing, len(w) - 1)]], 0) else [])
         return out
 
 
@@ -176,7 +176,7 @@ def search(segments: DataFrame, queries: Queries, slack: int = 0, missing: int =
 
     slack or missing: proximity instead of exact matches; the index must not be pruned then.
     """
-    plans = queries.plan(term_counts(segments))
+    plans = queries.plan(term_counts(segments), missing)
     held = segments.sparkSession.sparkContext.broadcast(([(p, i) for p, i in zip(plans, queries.items) if p],))
     names = [x.split()[0] for x in _FOUND.split(", ")]
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.string())]
