@@ -68,3 +68,36 @@ def test_truncated_archives_are_noticed():
     with pytest.raises(ValueError):
         list(warc.members(io.BytesIO(data[:-5])))
     assert gzip.decompress(data).startswith(b"WARC/1.1\r\n")
+
+
+def test_revisits_name_their_response(spark):
+    folder = common.staged_path(spark, "test")
+    archives = common.stage(warc.write(spark.createDataFrame(rows(), SCHEMA), folder), "test-list")
+    whole = {r["capture"]: r for r in warc.assemble(warc.read(archives)).collect()}
+    revisits = [r for r in whole.values() if r["response"]["kind"] == "revisit"]
+    assert revisits and all(r["request"]["present"] for r in whole.values())
+    for r in revisits:
+        first = whole[r["response"]["refers_to_id"]]
+        assert first["response"]["kind"] == "response" and first["metadata"]["page_id"] == r["response"]["refers_to"]
+        assert first["response"]["payload_digest"] == r["response"]["header_digest"] and first["response"]["payload_bytes"] == r["metadata"]["payload_length"]
+
+
+def test_assembly_across_files_and_directions(spark, tmp_path):
+    def file(name, *records):
+        (tmp_path / name).write_bytes(b"".join(records))
+        return (f"file://{tmp_path}/{name}",)
+
+    http = b"HTTP/1.1 200 OK\r\n\r\nbody"
+    response = lambda i, *more: warc.record("response", f"urn:r{i}", [("WARC-Payload-Digest", "sha1:X"), *more], http)
+    fields = b"page-id: %d\r\npayload-length: 4"
+    names = [
+        file("a", response(1, ("WARC-Concurrent-To", "<urn:q1>"), ("WARC-Concurrent-To", "<urn:m1>")), warc.record("metadata", "urn:m2", [("WARC-Concurrent-To", "<urn:q2>")], fields % 2)),
+        file("b", warc.record("request", "urn:q1", [], b"GET"), warc.record("request", "urn:q2", [("WARC-Concurrent-To", "<urn:r2>")], b"GET"), warc.record("request", "urn:q9", [], b"GET")),
+        file("c", warc.record("metadata", "urn:m1", [], fields % 1), response(2)),
+    ]
+    out = {r["capture"]: r for r in warc.assemble(warc.read(spark.createDataFrame(names, "path string"))).collect()}
+    assert set(out) == {"<urn:r1>", "<urn:r2>", "<urn:q9>"}
+    for i in (1, 2):
+        r = out[f"<urn:r{i}>"]
+        assert r["request"]["present"] and r["response"]["payload_bytes"] == 4 and r["metadata"]["page_id"] == i
+    assert out["<urn:q9>"]["response"] is None and out["<urn:q9>"]["metadata"] is None

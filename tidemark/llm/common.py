@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LIBC = ctypes.CDLL(None)
@@ -32,29 +32,69 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     without case; of columns with the same name the first counts. A column that is
     absent is null.
     """
-    plain = df.toDF(*(f"_c{i}" for i in range(len(df.columns))))
-    lower = [c.lower() for c in df.columns]
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    return plain.select(*_picked(df.columns, columns))
+
+
+def column_at(names: list[str], name: str) -> int | None:
+    """Which of the columns a name means, as pick() says."""
+    lower = [c.lower() for c in names]
+    return names.index(name) if name in names else lower.index(name) if name in lower else None
+
+
+def _picked(names: list[str], columns: dict[str, str]) -> list[Column]:
+    """The columns of pick(), of a frame whose columns are called c0, c1, ..."""
     out = []
     for name, kind in columns.items():
-        at = df.columns.index(name) if name in df.columns else lower.index(name) if name in lower else None
-        col = F.lit(None) if at is None else F.col(f"_c{at}")
-        out.append(col.cast(kind).alias(name))
-    return plain.select(*out)
+        at = column_at(names, name)
+        out.append((F.lit(None) if at is None else F.col(f"c{at}")).cast(kind).alias(name))
+    return out
+
+
+#: Files of a scan whose places in the list of all files are sent to every task; beyond, rows are written with their numbers.
+MANY_FILES = 100_000
+
+
+def _scanned(df: DataFrame) -> bool:
+    """Whether df is a scan of Parquet files and nothing else, whose rows have places of their own."""
+    plan = df._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() != "LogicalRelation" or plan.relation().getClass().getSimpleName() != "HadoopFsRelation":
+        return False
+    return plan.relation().fileFormat().toString() == "Parquet" and "_metadata" not in (c.lower() for c in df.columns)
 
 
-def numbered(rows: DataFrame) -> DataFrame:
-    """rows with n, a number of each row.
+def with_numbers(df: DataFrame, label: str = "numbered") -> DataFrame:
+    """df's columns as c0, c1, ... and n, a number that a row keeps in whatever job and plan reads it.
 
-    Operators read their rows several times and join by n, so rows must be a plan that
-    gives the same rows in the same order each time: a table scan (stage() anything else).
+    A scan of Parquet files is numbered by file and place in the file, without a copy:
+    numbers that Spark gives out by partition change when executors come or go between
+    two jobs, as a scan is cut for the cores there are. Any other plan is written once,
+    with its numbers, to the shared folder.
     """
-    return rows.withColumn("n", F.monotonically_increasing_id())
+    names = [f"c{i}" for i in range(len(df.columns))]
+    if _scanned(df):
+        row = F.col("_metadata.row_index")
+        placed = df.select("*", F.col("_metadata.file_path"), row).toDF(*names, "file", "row")
+        listed = [r[0] for r in placed.select("file").distinct().limit(MANY_FILES + 1).collect()]
+        if len(listed) <= MANY_FILES:
+            ranks = df.sparkSession.createDataFrame(list(enumerate(sorted(listed))), "rank long, file string")
+            return placed.join(F.broadcast(ranks), "file").select(*names, (F.shiftleft("rank", 40) + F.col("row")).alias("n"))
+    return stage(df.toDF(*names).withColumn("n", F.monotonically_increasing_id()), label)
+
+
+def numbered(df: DataFrame, **columns: str) -> DataFrame:
+    """pick() of the columns, and n as with_numbers() gives it."""
+    if _scanned(df):
+        return with_numbers(df).select(*_picked(df.columns, columns), "n")
+    return stage(pick(df, **columns).withColumn("n", F.monotonically_increasing_id()), "numbered")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares for checkpoints; set here only where it is unset."""
+    """The folder that the cluster shares for checkpoints; set here only where it is unset, on one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -77,6 +117,24 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key is hot where one in so many rows has it: there are fewer such keys than this.
+HOT = 1000
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, key: str | list[str], times: str = "times") -> DataFrame:
+    """rows joined with counted, which has one row for each key and in ``times`` how many rows have it.
+
+    Hot keys are fewer than HOT by their count, so that part of counted is broadcast and
+    the rows with them stay where they are; the other rows are shuffled by key. Both
+    frames are read more than once: stage() them.
+    """
+    total = counted.agg(F.sum(times)).first()[0] or 0
+    hot = F.col(times) * HOT > total
+    some, rest = F.broadcast(counted.where(hot)), counted.where(~hot)
+    cold = rows.join(some.select(*([key] if isinstance(key, str) else key)), key, "left_anti")
+    return rows.join(some, key).drop(times).unionByName(cold.join(rest, key).drop(times))
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut so that the column's values in each take about ``limit`` bytes at most."""
     for batch in batches:

@@ -9,10 +9,13 @@ of the other terms, rarest first. As every segment answers for its own documents
 term or a passage that a third of all documents hold is spread like they are, and
 nothing is shuffled.
 
-The benchmark is taken in blocks of BLOCK_BYTES, each indexed and queried in turn, so
-that what is sent to the executors is bounded. An index made for a query holds the
-postings of its terms only, and (without proximity) of those only where they stand in
-a run of query terms that is long enough for one of their windows.
+One index serves the whole benchmark: it holds the postings of the benchmark's terms only,
+and (without proximity) of those only where they stand in a run of such terms that is long
+enough for one of their windows. Above MOST_TERMS distinct terms it holds all postings
+instead, with the same answers. The benchmark's windows are then asked for in blocks of
+BLOCK_BYTES of text, as arrays, so that what the driver holds and sends is bounded: about
+25 bytes a word (measured: 70 MB for a block). In a segment only windows whose rarest term
+it holds are looked at, all together.
 
 near() also gives proximity matches: most of a window's terms within a few words of
 their places.
@@ -34,7 +37,12 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW = 13
-BLOCK_BYTES = 16 << 20
+#: Benchmark text that is asked for at once.
+BLOCK_BYTES = 4 << 20
+#: Distinct benchmark terms (16 bytes each) that an index is pruned to.
+MOST_TERMS = 2_000_000
+#: Candidates (a window at a posting of its rarest term) that are intersected together.
+CANDIDATES = 1 << 18
 
 _INSIDE = np.zeros(256, bool)
 _INSIDE[48:58] = _INSIDE[97:123] = _INSIDE[128:] = True
@@ -49,41 +57,66 @@ def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Queries:
-    """Windows of a block of benchmark items: term hashes, and the items that hold each window."""
+    """Windows of a block of benchmark items, as arrays.
+
+    terms: the distinct term hashes, sorted; codes: the items' words as places in terms,
+    item after item; begin, size and item of each window, which is codes[begin:begin + size].
+    """
 
     def __init__(self, items: list[tuple[str | None, str | None]], width: int = WINDOW):
-        found: dict[tuple[int, ...], set[str]] = {}
-        for ident, text in items:
-            terms = words(_LOWER[np.frombuffer((text or "").encode(), np.uint8)])[1].tolist()
-            size = min(width, len(terms))
-            for i in range(len(terms) - size + 1 if size else 0):
-                found.setdefault(tuple(terms[i : i + size]), set()).update(() if ident is None else (ident,))
-        self.windows = list(found)
-        self.items = [sorted(s) for s in found.values()]
-        least: dict[int, int] = {}
-        for w in self.windows:
-            for t in w:
-                least[t] = min(len(w), least.get(t, len(w)))
-        self.terms = np.array(sorted(least), np.uint64)
-        self.least = np.array([least[t] for t in sorted(least)], np.int64)  # the shortest window with the term
-
-    def plan(self, counts: dict[int, int], missing: int = 0) -> list[list[tuple[int, int]]]:
-        """For each window its (term, offset) pairs, rarest first; empty if more than ``missing`` terms have no posting."""
-        out = []
-        for w in self.windows:
-            order = sorted(range(len(w)), key=lambda i: (counts.get(w[i], 0), w[i], i))
-            out.append([(w[i], i) for i in order] if counts.get(w[order[min(missing, len(w) - 1)]], 0) else [])
-        return out
+        texts = [(t or "").encode() for _, t in items]
+        self.names = [i for i, _ in items]
+        data = _LOWER[np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)]
+        starts, hashes = words(data)
+        first = np.searchsorted(starts, np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]).astype(np.int64))
+        counts = np.diff(first)
+        sizes = np.minimum(counts, width)
+        windows = np.where(counts > 0, counts - sizes + 1, 0)
+        self.item = np.repeat(np.arange(len(items)), windows)
+        self.size = np.repeat(sizes, windows)
+        self.begin = np.arange(windows.sum()) + np.repeat(first[:-1] - np.cumsum(windows) + windows, windows)
+        self.terms, codes = np.unique(hashes, return_inverse=True)
+        self.codes = codes.astype(np.int32)
+        self.least = np.full(len(self.terms), width)  # the shortest window with the term
+        np.minimum.at(self.least, codes, np.repeat(sizes, counts))
+        self.counts = np.ones(len(self.terms), np.int64)
+        self.width = width
+
+    def plan(self, terms: np.ndarray, counts: np.ndarray) -> None:
+        """Sets the postings of the terms over the whole index, and each window's rarest term."""
+        self.counts = np.zeros(len(self.terms), np.int64)
+        at = np.searchsorted(self.terms, terms)
+        at[at == len(self.terms)] = 0
+        known = self.terms[at] == terms if len(self.terms) else np.zeros(0, bool)
+        self.counts[at[known]] = counts[known]
+        self.rare = np.zeros(len(self.begin), np.int64)  # offset of the rarest term
+        for a in range(0, len(self.begin), 1 << 16):
+            self.rare[a : a + (1 << 16)] = self._order(np.arange(a, min(a + (1 << 16), len(self.begin))))[:, 0]
+        self.rarest = self.codes[self.begin + self.rare]
+        self.by_rarest = np.argsort(self.rarest, kind="stable")
+        self.sorted_rarest = self.rarest[self.by_rarest]
+
+    def matrix(self, windows: np.ndarray) -> np.ndarray:
+        """The codes of some windows, a row each; -1 after a window's end."""
+        step = np.arange(self.width)
+        at = self.begin[windows][:, None] + step
+        return np.where(step < self.size[windows][:, None], self.codes[np.minimum(at, max(0, len(self.codes) - 1))], -1)
+
+    def _order(self, windows: np.ndarray) -> np.ndarray:
+        """The offsets of each window's terms, rarest first."""
+        codes = self.matrix(windows)
+        many = np.where(codes < 0, np.iinfo(np.int64).max, self.counts[codes])
+        return np.argsort(many, 1, kind="stable")
 
 
 _SEGMENT = "n array<long>, doc_id array<long>, n_words array<int>, begin array<long>, terms array<long>, ends array<int>, positions array<int>"
 
 
-def segment_of(texts: list[bytes], terms: np.ndarray, least: np.ndarray | None) -> tuple:
+def segment_of(texts: list[bytes], terms: np.ndarray | None, least: np.ndarray | None) -> tuple:
     """n_words and first position of each text; then terms, ends of their lists, and positions.
 
-    Positions run through the segment with a gap between texts. ``least``: keep a
-    posting only in a run of query terms of so many words.
+    Positions run through the segment with a gap between texts. terms: None for all.
+    ``least``: keep a posting only in a run of query terms of so many words.
     """
     data = _LOWER[np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)]
     offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)])
@@ -92,6 +125,8 @@ def segment_of(texts: list[bytes], terms: np.ndarray, least: np.ndarray | None)
     n_words = np.diff(first)
     begin = first[:-1] + np.arange(len(texts))
     position = np.arange(len(starts)) + np.repeat(np.arange(len(texts)), n_words)
+    if terms is None:
+        terms, least = np.unique(hashes), None
     at = np.searchsorted(terms, hashes)
     at[at == len(terms)] = 0
     keep = np.flatnonzero(terms[at] == hashes) if len(terms) else np.zeros(0, np.int64)
@@ -105,9 +140,9 @@ def segment_of(texts: list[bytes], terms: np.ndarray, least: np.ndarray | None)
     return n_words, begin, listed.view(np.int64), np.cumsum(counts), position[order]
 
 
-def index(docs: DataFrame, queries: Queries, prune: bool = True) -> DataFrame:
-    """The segments of rows (n, doc_id, text), written to the shared folder."""
-    held = docs.sparkSession.sparkContext.broadcast((queries.terms, queries.least if prune else None))
+def index(docs: DataFrame, terms: np.ndarray, least: np.ndarray | None) -> DataFrame:
+    """The segments of rows (n, doc_id, text), written to the shared folder. terms: sorted; of others there are no postings."""
+    held = docs.sparkSession.sparkContext.broadcast((terms, least))
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         terms, least = held.value
@@ -119,93 +154,144 @@ def index(docs: DataFrame, queries: Queries, prune: bool = True) -> DataFrame:
     return common.stage(common.over_text(docs, rows, _SEGMENT), "postings")
 
 
-def term_counts(segments: DataFrame) -> dict[int, int]:
-    """Postings of each term over the whole index; at most as many rows as a block has terms."""
+def term_counts(segments: DataFrame, queries: Queries) -> tuple[np.ndarray, np.ndarray]:
+    """The block's terms that the whole index holds, and their postings there; as arrays."""
+    held = segments.sparkSession.sparkContext.broadcast(queries.terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for terms, ends in zip(batch.column(0), batch.column(1)):
-                yield pa.RecordBatch.from_arrays([terms.values, pa.array(np.diff(ends.values.to_numpy(), prepend=0), pa.int64())], ["term", "c"])
-
-    counts = segments.select("terms", "ends").mapInArrow(run, "term long, c long").groupBy("term").agg(F.sum("c").alias("c"))
-    return {r["term"] & (2**64 - 1): r["c"] for r in counts.collect()}
-
-
-def phrase_starts(lists: dict[int, np.ndarray], plan: list[tuple[int, int]]) -> np.ndarray:
-    """Where a window begins: moved lists intersected from the rarest term on."""
-    starts = None
-    for term, offset in plan:
-        listed = lists.get(term)
-        if listed is None:
+                listed = terms.values.to_numpy()
+                wanted = np.isin(listed.view(np.uint64), held.value)
+                yield pa.RecordBatch.from_arrays([pa.array(listed[wanted]), pa.array(np.diff(ends.values.to_numpy(), prepend=0).astype(np.int64)[wanted])], ["term", "c"])
+
+    counts = segments.select("terms", "ends").mapInArrow(run, "term long, c long").groupBy("term").agg(F.sum("c").alias("c")).toArrow()
+    return counts.column("term").to_numpy().view(np.uint64), counts.column("c").to_numpy()
+
+
+class Lists:
+    """The postings of one segment for a block's terms: keys (code and position), sorted."""
+
+    def __init__(self, queries: Queries, terms: np.ndarray, ends: np.ndarray, positions: np.ndarray):
+        at = np.searchsorted(queries.terms, terms)
+        at[at == len(queries.terms)] = 0
+        known = queries.terms[at] == terms if len(queries.terms) else np.zeros(len(terms), bool)
+        begins, sizes = np.append(0, ends[:-1])[known], np.diff(ends, prepend=0)[known]
+        step = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        self.codes, self.sizes = at[known], sizes
+        self.ends = np.cumsum(sizes)
+        self.positions = positions[np.repeat(begins, sizes) + step].astype(np.int64)
+        self.span = int(self.positions.max()) + 2 * queries.width if len(self.positions) else 1
+        self.keys = np.repeat(self.codes, sizes) * self.span + self.positions
+
+    def of(self, code: int) -> np.ndarray:
+        """The positions of a term."""
+        i = int(np.searchsorted(self.codes, code))
+        if i == len(self.codes) or self.codes[i] != code:
             return np.zeros(0, np.int64)
-        moved = listed.astype(np.int64) - offset
-        if starts is None:
-            starts = moved
-        else:
-            at = np.searchsorted(moved, starts)
-            at[at == len(moved)] = 0
-            starts = starts[moved[at] == starts]
-        if not len(starts):
-            return starts
-    return starts
-
-
-def near_starts(lists: dict[int, np.ndarray], plan: list[tuple[int, int]], slack: int, least: int) -> np.ndarray:
-    """Where at least ``least`` terms of a window stand within ``slack`` words of their places, by the rarest present terms."""
-    out = []
-    for k in range(len(plan) - least + 1):  # one of these terms is in every such match
-        term, offset = plan[k]
-        if term not in lists:
+        return self.positions[self.ends[i] - self.sizes[i] : self.ends[i]]
+
+    def hold(self, codes: np.ndarray, positions: np.ndarray) -> np.ndarray:
+        """Whether each position is in its term's list."""
+        keys = codes * self.span + positions
+        at = np.searchsorted(self.keys, keys)
+        at[at == len(self.keys)] = 0
+        return (self.keys[at] == keys) & (positions >= 0) & (positions < self.span)
+
+
+def phrase_matches(queries: Queries, lists: Lists) -> tuple[np.ndarray, np.ndarray]:
+    """(window, start) of all exact matches: the moved list of a window's rarest term, intersected with those of its other terms, rarest first."""
+    found = [np.zeros((2, 0), np.int64)]
+    low = np.searchsorted(queries.sorted_rarest, lists.codes, "left")
+    many = np.searchsorted(queries.sorted_rarest, lists.codes, "right") - low
+    step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    windows = queries.by_rarest[np.repeat(low, many) + step]
+    sizes, begins = np.repeat(lists.sizes, many), np.repeat(lists.ends - lists.sizes, many)
+    part = np.cumsum(sizes) // CANDIDATES
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(windows)]
+    for a, b in zip(cuts, cuts[1:]):
+        if b <= a:
             continue
-        starts = lists[term].astype(np.int64) - offset
+        codes, order = queries.matrix(windows[a:b]), queries._order(windows[a:b])
+        size = queries.size[windows[a:b]]
+        w = np.repeat(np.arange(b - a), sizes[a:b])
+        at = np.arange(len(w)) - np.repeat(np.cumsum(sizes[a:b]) - sizes[a:b], sizes[a:b])
+        start = lists.positions[begins[a:b][w] + at] - queries.rare[windows[a:b]][w]
+        for k in range(1, queries.width):
+            offset = order[w, k]
+            keep = (k >= size[w]) | lists.hold(np.maximum(codes[w, offset], 0), start + offset)
+            w, start = w[keep], start[keep]
+            if not len(w):
+                break
+        found.append(np.stack([windows[a:b][w], start]))
+    return tuple(np.concatenate(found, 1))
+
+
+def near_starts(lists: list[np.ndarray], slack: int, least: int) -> np.ndarray:
+    """Where at least ``least`` terms of a window stand within ``slack`` words of their places, by the rarest present terms. lists: of each term in order."""
+    out = []
+    rarest = sorted((i for i in range(len(lists)) if len(lists[i])), key=lambda i: len(lists[i]))
+    for offset in rarest[: len(rarest) - least + 1]:  # one of these terms is in every such match
+        starts = lists[offset] - offset
         found = np.zeros(len(starts), np.int64)
-        for other, o in plan:
-            listed = lists.get(other)
-            if listed is not None:
-                want = starts + o
-                found += np.searchsorted(listed, want + slack, "right") > np.searchsorted(listed, want - slack, "left")
+        for o, listed in enumerate(lists):
+            want = starts + o
+            found += np.searchsorted(listed, want + slack, "right") > np.searchsorted(listed, want - slack, "left")
         out.append(starts[found >= least])
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
 
 
+def near_matches(queries: Queries, lists: Lists, slack: int, missing: int) -> tuple[np.ndarray, np.ndarray]:
+    """(window, start) of all proximity matches; only windows of which all but ``missing`` terms are in the segment are looked at."""
+    present = np.zeros(len(queries.terms) + 1, bool)
+    present[lists.codes] = True
+    found = [np.zeros((2, 0), np.int64)]
+    for a in range(0, len(queries.begin), 1 << 16):
+        some = np.arange(a, min(a + (1 << 16), len(queries.begin)))
+        enough = present[queries.matrix(some)].sum(1) >= np.maximum(1, queries.size[some] - missing)
+        for w in some[enough].tolist():
+            size = int(queries.size[w])
+            starts = near_starts([lists.of(c) for c in queries.codes[queries.begin[w] :][:size]], slack, max(1, size - missing))
+            found.append(np.stack([np.full(len(starts), w), starts]))
+    return tuple(np.concatenate(found, 1))
+
+
 _FOUND = "n long, doc_id long, n_words int, hits array<int>, items array<string>"
 
 
 def search(segments: DataFrame, queries: Queries, slack: int = 0, missing: int = 0) -> DataFrame:
     """For each document: the words (numbers from 0) in any match of a window, and the items matched.
 
-    slack or missing: proximity instead of exact matches; the index must not be pruned then.
+    slack or missing: proximity instead of exact matches; the index must not be pruned by runs then.
     """
-    plans = queries.plan(term_counts(segments), missing)
-    held = segments.sparkSession.sparkContext.broadcast(([(p, i) for p, i in zip(plans, queries.items) if p],))
+    queries.plan(*term_counts(segments, queries))
+    held = segments.sparkSession.sparkContext.broadcast(queries)
     names = [x.split()[0] for x in _FOUND.split(", ")]
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.string())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (asked,) = held.value
+        asked = held.value
         for batch in batches:
             for k in range(batch.num_rows):
                 n, ids, n_words, begin, terms, ends, positions = (batch.column(i)[k].values for i in range(7))
-                ends = ends.to_numpy()
-                bounds = np.concatenate([[0], ends])
-                positions = positions.to_numpy()
-                lists = {t & (2**64 - 1): positions[a:b] for t, a, b in zip(terms.to_pylist(), bounds, ends)}
+                lists = Lists(asked, terms.to_numpy().view(np.uint64), ends.to_numpy(), positions.to_numpy())
+                windows, starts = near_matches(asked, lists, slack, missing) if slack or missing else phrase_matches(asked, lists)
                 first, sizes = begin.to_numpy(), n_words.to_numpy()
-                hits: dict[int, list] = {}
+                end = int(first[-1] + sizes[-1]) if len(first) else 0
+                size = asked.size[windows]
+                doc = np.searchsorted(first, np.maximum(starts, 0), "right") - 1  # where a match begins
+                edge = np.zeros(end + 1, np.int64)
+                np.add.at(edge, np.maximum(starts, first[doc]), 1)
+                np.add.at(edge, np.minimum(starts + size, first[doc] + sizes[doc]), -1)
+                hit = np.flatnonzero(np.cumsum(edge) > 0)
+                owner = np.searchsorted(first, hit, "right") - 1
+                words_of = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(len(first) + 1)), pa.int32()), pa.array(hit - first[owner], pa.int32()))
                 items: dict[int, set] = {}
-                for plan, names_of in asked:
-                    if plan[0][0] not in lists and not missing:
-                        continue
-                    starts = near_starts(lists, plan, slack, len(plan) - missing) if slack or missing else phrase_starts(lists, plan)
-                    for s in starts.tolist():
-                        d = int(np.searchsorted(first, max(s, 0), "right")) - 1
-                        at = s - first[d]
-                        hits.setdefault(d, []).append(np.arange(max(at, 0), min(at + len(plan), sizes[d])))
-                        items.setdefault(d, set()).update(names_of)
-                count = len(n)
-                hit_rows = [np.unique(np.concatenate(hits[d])) if d in hits else [] for d in range(count)]
-                item_rows = [sorted(items.get(d, ())) for d in range(count)]
-                yield pa.RecordBatch.from_arrays([n, ids, n_words, pa.array(hit_rows, kinds[3]), pa.array(item_rows, kinds[4])], names)
+                for d, i in set(zip(doc.tolist(), asked.item[windows].tolist())):
+                    if asked.names[i] is not None:
+                        items.setdefault(d, set()).add(asked.names[i])
+                item_rows = [sorted(items.get(d, ())) for d in range(len(n))]
+                yield pa.RecordBatch.from_arrays([n, ids, n_words, words_of, pa.array(item_rows, kinds[4])], names)
 
     return segments.mapInArrow(run, _FOUND)
 
@@ -220,17 +306,30 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[str | None, str | None]
         yield [(r["item_id"], r["text"]) for r in part.collect()]
 
 
+def vocabulary(blocks: Iterator[Queries]) -> tuple[np.ndarray, np.ndarray] | None:
+    """The terms of all blocks, sorted, and the shortest window of each; None above MOST_TERMS."""
+    terms, least = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for block in blocks:
+        both, low = np.concatenate([terms, block.terms]), np.concatenate([least, block.least])
+        terms, at = np.unique(both, return_inverse=True)
+        if len(terms) > MOST_TERMS:
+            return None
+        least = np.full(len(terms), WINDOW)
+        np.minimum.at(least, at, low)
+    return terms, least
+
+
 def numbered(docs: DataFrame) -> DataFrame:
     """n, doc_id and text of each row."""
-    return common.numbered(common.pick(docs, doc_id="long", text="string")).select("n", "doc_id", "text")
+    return common.numbered(docs, doc_id="long", text="string").select("n", "doc_id", "text")
 
 
 def matches(rows: DataFrame, benchmark: DataFrame, slack: int = 0, missing: int = 0) -> DataFrame:
-    """search() of all blocks of the benchmark: one row for each of ``rows``."""
-    found = []
-    for block in _blocks(benchmark):
-        queries = Queries(block)
-        found.append(search(index(rows, queries, prune=not (slack or missing)), queries, slack, missing))
+    """search() of all blocks of the benchmark: one row for each of ``rows``, which are read once."""
+    wanted = vocabulary(Queries(block) for block in _blocks(benchmark))
+    terms, least = wanted or (None, None)
+    segments = index(rows, terms, None if slack or missing else least)
+    found = [search(segments, Queries(block), slack, missing) for block in _blocks(benchmark)]
     if len(found) == 1:
         return found[0]
     whole = found[0]
@@ -265,6 +364,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, all columns, that aren't contaminated."""
-    bad = _verdicts(matches(numbered(docs), benchmark)).where("contaminated").select("n")
-    plain = common.numbered(docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))))
+    plain = common.with_numbers(docs)
+    text, ident = (common.column_at(docs.columns, name) for name in ("text", "doc_id"))
+    column = lambda at, kind: (F.lit(None) if at is None else F.col(f"c{at}")).cast(kind)
+    rows = plain.select("n", column(ident, "long").alias("doc_id"), column(text, "string").alias("text"))
+    bad = _verdicts(matches(rows, benchmark)).where("contaminated").select("n")
     return plain.join(bad, "n", "left_anti").drop("n").toDF(*docs.columns)

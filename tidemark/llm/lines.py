@@ -116,7 +116,7 @@ def _least(windows: np.ndarray, word_of: np.ndarray) -> np.ndarray:
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    return common.numbered(common.pick(docs, doc_id="long", text="string"))
+    return common.numbered(docs, doc_id="long", text="string")
 
 
 def pieces(rows: DataFrame) -> DataFrame:
@@ -243,17 +243,20 @@ def _deduped(rows: DataFrame) -> DataFrame:
 
 def dedup_documents(docs: DataFrame) -> DataFrame:
     """docs, all columns, with text (and n_chars, if there is one) of what is left."""
-    plain = common.numbered(docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))))
-    at = {name: f"c{i}" for i, name in reversed(list(enumerate(docs.columns)))}
-    rows = plain.select(F.col(at["doc_id"]).cast("long").alias("doc_id"), F.col(at["text"]).cast("string").alias("text"), "n")
+    plain = common.with_numbers(docs)
+    at = {name: common.column_at(docs.columns, name) for name in ("doc_id", "text", "n_chars")}
+    if at["text"] is None:
+        return docs
+    ident = F.lit(None) if at["doc_id"] is None else F.col(f"c{at['doc_id']}")
+    rows = plain.select(ident.cast("long").alias("doc_id"), F.col(f"c{at['text']}").cast("string").alias("text"), "n")
     left = _deduped(rows).select("n", F.col("text").alias("left_text"))
-    joined = plain.drop(at["text"]).join(left, "n")
+    joined = plain.drop(f"c{at['text']}").join(left, "n")
     columns = []
     for i, name in enumerate(docs.columns):
         col = F.col(f"c{i}")
-        if f"c{i}" == at["text"]:
+        if i == at["text"]:
             col = F.col("left_text")
-        elif f"c{i}" == at.get("n_chars"):
+        elif i == at["n_chars"]:
             col = F.length("left_text").cast(docs.schema[i].dataType)
         columns.append(col.alias(name))
     return joined.select(*columns)

@@ -10,7 +10,10 @@ and anchor have a context, the bytes that the run's windows cover.
 
 1. Anchors whose hash occurs once are done: their windows are unique. Where all
    contexts of an anchor hash are equal, or a context occurs twice, all windows of it
-   are repeated. This needs counts only, so that thousands of copies are pre-aggregated.
+   are repeated. Contexts are compared by 128-bit BLAKE2b digests of their bytes, which
+   takes the place of comparing the bytes of thousands of copies; this needs counts
+   only, so that copies are pre-aggregated. A hash that many anchors share is joined
+   where its rows are (common.join_counted).
 2. For the rest, one representative of each distinct context goes with its bytes to
    the task of its anchor hash. There the suffixes from the anchor on, and the reversed
    prefixes before it, are sorted by a mergesort that compares two suffixes by the
@@ -18,8 +21,8 @@ and anchor have a context, the bytes that the run's windows cover.
    hashes. The common extension of neighbours is verified byte by byte; a collision
    changes the polynomial and sorts again. A window at distance d before its anchor is
    repeated where another context shares d bytes to the left and LENGTH - d to the right.
-3. An anchor hash with more than GROUP contexts would not fit a task. Its windows are
-   hashed (128 bits) and counted like the contexts, with pre-aggregation, instead.
+3. An anchor hash with more than GROUP distinct contexts would not fit a task. Its
+   windows are counted by their digests, like the contexts, instead: the same answer.
 
 Null or empty text has no bytes, nothing removed. Documents under LENGTH bytes stay
 whole. Rows are documents of their own, repeated ones repeat each other; a null doc_id
@@ -54,7 +57,7 @@ def _tables(seed: int) -> np.ndarray:
     return common.mix(np.arange(1, 257, dtype=np.uint64) + np.uint64(seed << 32))
 
 
-_ONE, _TWO = _tables(1), _tables(2)
+_ONE = _tables(1)
 
 
 class Prefixes:
@@ -85,7 +88,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
     """Runs of windows with one anchor in texts data[offsets[i]:offsets[i+1]].
 
     Returns text number, first window, last window, anchor (offsets in data), the
-    anchor's hash and two hashes of the run's context.
+    anchor's hash and the two halves of the BLAKE2b digest of the run's context.
     """
     windows = len(data) - length + 1
     if windows <= 0:
@@ -109,10 +112,16 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
     last = np.flatnonzero(end)
     anchor = at[first]
     text = np.searchsorted(offsets, first, "right") - 1
-    one, two = Prefixes(data, _ONE), Prefixes(data, _TWO)
-    size = last - first + length
-    shape = ((anchor - first) << 32 | size).astype(np.uint64)
-    return text, first, last, anchor, common.mix(one.span(anchor, np.full(len(anchor), gram))).view(np.int64), common.mix(one.span(first, size) + shape).view(np.int64), common.mix(two.span(first, size) ^ shape).view(np.int64)
+    one = Prefixes(data, _ONE)
+    c, c2 = digests(data, first, last + length)
+    return text, first, last, anchor, common.mix(one.span(anchor, np.full(len(anchor), gram))).view(np.int64), c, c2
+
+
+def digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The 128-bit BLAKE2b digest of data[start:end] for each span, as two rows of longs: equal digests stand for equal bytes."""
+    raw, make = data.tobytes(), hashlib.blake2b
+    out = b"".join([make(raw[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist())])
+    return np.frombuffer(out, np.int64).reshape(-1, 2).T.copy()
 
 
 _ANCHORS = "h long, c long, c2 long, n long, at long, low int, high int"
@@ -298,11 +307,9 @@ def _counted(contexts: DataFrame, length: int) -> DataFrame:
         base = np.repeat(np.cumsum(sizes) - sizes, counts)
         step = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
         d = np.repeat(np.array([r["high"] for r in rows], np.int64), counts) - step
-        size = np.full(len(base), length)
         take = lambda name: np.repeat(np.array([r[name] for r in rows], np.int64), counts)
-        h = take("h").view(np.uint64)
-        one, two = (common.mix(Prefixes(data, t).span(base + step, size) ^ h) for t in (_ONE, _TWO))
-        columns = [one.view(np.int64), two.view(np.int64), take("n"), take("at"), d.astype(np.int32)]
+        w, w2 = digests(data, base + step, base + step + length)
+        columns = [w, w2, take("n"), take("at"), d.astype(np.int32)]
         return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], [x.split()[0] for x in schema.split(", ")])
 
     windows = common.over_text(contexts, run, schema, column="context", limit=1 << 18)
@@ -314,15 +321,16 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
     """(n, start, end): byte spans of rows (n, text) that strings of ``length`` bytes which occur elsewhere cover; spans may overlap."""
     group = GROUP if group is None else group
     found = common.stage(_anchor_rows(rows, length, gram), "anchors")
-    hashes = found.groupBy("h").agg(F.count("*").alias("times"), (F.min(F.struct("c", "c2")) != F.max(F.struct("c", "c2"))).alias("mixed")).where("times > 1").select("h", "mixed")
-    shared = common.stage(found.join(hashes, "h"), "shared-anchors")
+    kind = ("c", "c2", "low", "high")
+    hashes = found.groupBy("h").agg(F.count("*").alias("times"), (F.min(F.struct(*kind)) != F.max(F.struct(*kind))).alias("mixed")).where("times > 1")
+    shared = common.stage(common.join_counted(found, common.stage(hashes, "anchor-hashes"), "h"), "shared-anchors")
     span = ("n", (F.col("at") - F.col("high")).alias("start"), (F.col("at") - F.col("low") + length).alias("end"))
     copies = shared.where(~F.col("mixed")).select(*span)
     mixed = shared.where("mixed")
-    kinds = common.stage(mixed.groupBy("h", "c", "c2").agg(F.count("*").alias("times"), F.min(F.struct("n", "at", "low", "high")).alias("one")), "contexts")
-    more = mixed.join(kinds.where("times > 1").select("h", "c", "c2"), ["h", "c", "c2"]).select(*span)
+    kinds = common.stage(mixed.groupBy("h", *kind).agg(F.count("*").alias("times"), F.min(F.struct("n", "at")).alias("one")), "contexts")
+    more = common.join_counted(mixed, kinds.where("times > 1").select("h", *kind, "times"), ["h", *kind]).select(*span)
     large = kinds.groupBy("h").agg(F.count("*").alias("kinds")).where(F.col("kinds") > group).select("h", F.lit(True).alias("large"))
-    wanted = kinds.join(large, "h", "left").select("h", "one.*", (F.col("times") == 1).alias("alone"), F.coalesce("large", F.lit(False)).alias("large"))
+    wanted = kinds.join(large, "h", "left").select("h", "one.*", "low", "high", (F.col("times") == 1).alias("alone"), F.coalesce("large", F.lit(False)).alias("large"))
     # the bytes of each wanted context, cut from its text
     lists = wanted.groupBy("n").agg(F.collect_list(F.struct("h", "at", "low", "high", "alone", "large")).alias("wanted"))
     binary = F.encode("text", "UTF-8")
@@ -351,7 +359,7 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int | None = None, keep_bytes: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row and, if asked for, kept (the remaining bytes) and removed (byte spans)."""
-    rows = common.numbered(common.pick(docs, doc_id="long", text="string"))
+    rows = common.numbered(docs, doc_id="long", text="string")
     spans = repeated_spans(rows.select("n", F.coalesce("text", F.lit("")).alias("text")), length, gram, group)
     lists = spans.groupBy("n").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, removed array<struct<start: long, end: long>>" * keep_bytes

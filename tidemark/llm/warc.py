@@ -4,8 +4,9 @@ write() deals the pages out by payload digest, chooses for each payload the reco
 that is the response (the others revisit it), and writes gzip-per-record WARC/1.1
 files to the cluster's shared folder. Each capture is three records that point at
 each other through WARC-Concurrent-To: request, response (or revisit) and
-metadata. read() streams the archives back and assemble() joins the records of a
-capture into one nested row; reading keeps no file in memory.
+metadata; a revisit names its response by WARC-Refers-To. read() streams the archives
+back and assemble() joins the records of a capture into one nested row, whatever files
+they lie in and in whatever order; reading keeps no file in memory.
 
 Null html is an empty payload. Of records with equal payloads (of at least
 ``least`` bytes) the one with the smallest page_id is the response, ties among
@@ -36,6 +37,8 @@ READERS = 20_000
 #: Bytes of an archive that a reader holds besides the record at hand.
 READ_BYTES = 1 << 20
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Kinds of record that a capture is named after.
+_MAIN = ["response", "revisit"]
 _DATE = "2024-01-01T00:00:00Z"
 
 
@@ -71,8 +74,8 @@ def _clean(url: str | None) -> str:
     return "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in url or "")
 
 
-def capture(capture_id: str, page_id: int | None, url: str | None, payload: bytes, sha1: str, refers: int | None) -> bytes:
-    """The three records of one capture."""
+def capture(capture_id: str, page_id: int | None, url: str | None, payload: bytes, sha1: str, refers: tuple[str, int | None] | None) -> bytes:
+    """The three records of one capture. refers: the capture and the page_id of the response that a revisit stands for."""
     target, ids = _clean(url), [_urn(capture_id, k) for k in ("response", "request", "metadata")]
     about = [("WARC-Target-URI", target)] if target else []
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
@@ -80,7 +83,7 @@ def capture(capture_id: str, page_id: int | None, url: str | None, payload: byte
     if refers is None:
         first = record("response", ids[0], main, http + payload)
     else:
-        main += [("WARC-Profile", _PROFILE), ("WARC-Refers-To-Page", str(refers))]
+        main += [("WARC-Profile", _PROFILE), ("WARC-Refers-To", f"<{_urn(refers[0], 'response')}>")]
         first = record("revisit", ids[0], main, http)
     ask = f"GET {target or '/'} HTTP/1.1\r\n\r\n".encode()
     second = record("request", ids[1], about + [("Content-Type", "application/http;msgtype=request")], ask)
@@ -88,31 +91,35 @@ def capture(capture_id: str, page_id: int | None, url: str | None, payload: byte
     if url is not None:
         fields.append("url-utf8-hex: " + url.encode().hex())
     fields.append(f"payload-length: {len(payload)}")
+    if refers is not None and refers[1] is not None:
+        fields.append(f"refers-to-page-id: {refers[1]}")
     third = record("metadata", ids[2], [("WARC-Concurrent-To", f"<{ids[0]}>"), ("Content-Type", "application/warc-fields")], "\r\n".join(fields).encode())
     return second + first + third
 
 
 def _with_roles(pages: DataFrame, least: int) -> DataFrame:
-    """page_id, url, html and of each row: its capture number, SHA-1 and the page it refers to (null: a response).
+    """n, page_id, url, html of each row, and of a revisit the number and the page_id of the row it refers to.
 
-    The response of a payload comes from an aggregate of (digest, smallest row), so a
-    payload that a third of all pages share is one row of the join's small side; the
-    html itself is not shuffled by digest.
+    Payloads are compared by (SHA-1, length) in narrow rows. A digest that a third of
+    all pages share is a hot key of join_counted(); the html itself is joined by row
+    number, evenly.
     """
-    rows = common.numbered(common.pick(pages, page_id="long", url="string", html="string"))
+    rows = common.numbered(pages, page_id="long", url="string", html="string")
     binary = F.coalesce(F.encode("html", "UTF-8"), F.lit(b""))
-    rows = rows.withColumn("size", F.length(binary).cast("long")).withColumn("sha1", F.sha1(binary))
-    keys = rows.select("n", "page_id", "sha1", "size")
-    firsts = keys.where(F.col("size") >= least).groupBy("sha1").agg(F.count("*").alias("copies"), F.min(F.struct(F.col("page_id").isNull().alias("last"), "page_id", "n")).alias("first"))
-    shared = firsts.where("copies > 1").select("sha1", F.col("first.page_id").alias("first_page"), F.col("first.n").alias("first_n"))
-    return rows.join(shared, "sha1", "left").withColumn("refers", F.when(F.col("n") != F.col("first_n"), F.coalesce("first_page", F.lit(-1)))).drop("first_page", "first_n")
+    keys = rows.select("n", "page_id", F.sha1(binary).alias("sha1"), F.length(binary).cast("long").alias("size"))
+    keys = common.stage(keys.where(F.col("size") >= least).select("n", "page_id", "sha1"), "payload-keys")
+    firsts = keys.groupBy("sha1").agg(F.count("*").alias("times"), F.min(F.struct(F.col("page_id").isNull().alias("last"), "page_id", "n")).alias("first"))
+    shared = common.stage(firsts.where("times > 1"), "payloads")
+    found = common.join_counted(keys, shared, "sha1").where("n <> first.n")
+    return rows.join(found.select("n", F.col("first.n").alias("first_n"), F.col("first.page_id").alias("first_page")), "n", "left")
 
 
 def write(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     """The archives that hold all pages, one row each: path, records, bytes. Evaluating it writes them.
 
     A task writes files of its own, under names no other attempt uses, and its rows
-    name the files that count: what a lost executor left behind is never read.
+    name the files that count: what a lost executor left behind is never read. Record
+    ids come from row numbers, so a revisit can name a response of any file.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +135,8 @@ def write(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
                     path, size, count = f"{folder}/{uuid.uuid4().hex}.warc.gz", 0, 0
                     stream = open_file(path, "w")
                 payload = (row["html"] or "").encode()
-                data = capture(f"{path}/{count}", row["page_id"], row["url"], payload, digest(payload), row["refers"])
+                refers = None if row["first_n"] is None else (f"{folder}/{row['first_n']}", row["first_page"])
+                data = capture(f"{folder}/{row['n']}", row["page_id"], row["url"], payload, digest(payload), refers)
                 stream.write(data)
                 size, count = size + len(data), count + 3
                 if size >= FILE_BYTES:
@@ -137,7 +145,7 @@ def write(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
         if stream is not None:
             yield done()
 
-    return _with_roles(pages, least).select("page_id", "url", "html", "refers").mapInArrow(run, "path string, records long, bytes long")
+    return _with_roles(pages, least).mapInArrow(run, "path string, records long, bytes long")
 
 
 def members(stream) -> Iterator[bytes]:
@@ -163,50 +171,50 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
     lines = head.decode().split("\r\n")
     if not lines[0].startswith("WARC/"):
         raise ValueError("not a WARC record")
-    headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+    headers: dict[str, str] = {}
+    for k, _, v in (x.partition(":") for x in lines[1:]):
+        k = k.strip().lower()
+        headers[k] = f"{headers[k]}, {v.strip()}" if k == "warc-concurrent-to" and k in headers else v.strip()
     return headers, rest[: int(headers["content-length"])]
 
 
-_RECORD = "path string, capture string, kind string, page_id long, url string, payload_length long, payload_bytes long, payload_digest string, header_digest string, refers_to long, payload binary"
+_RECORD = "path string, id string, concurrent array<string>, kind string, page_id long, url string, payload_length long, payload_bytes long, payload_digest string, header_digest string, refers_to_id string, refers_to_page long, payload binary"
 
 
 def read(archives: DataFrame, payloads: bool = True) -> DataFrame:
-    """Every record of the archives (rows with a path): its capture's response id, kind and fields."""
+    """Every record of the archives (rows with a path): its id, the ids it is concurrent to, its kind and fields."""
     names = [x.split()[0] for x in _RECORD.split(", ")]
-    kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+    kinds = [pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary()]
 
-    def rows(path: str) -> Iterator[list]:
+    def rows(path: str) -> Iterator[dict]:
         with open_file(path, "r") as stream:
             for raw in members(stream):
                 head, body = parse(raw)
-                kind, ident = head["warc-type"], head["warc-record-id"]
+                kind = head["warc-type"]
                 row = dict.fromkeys(names)
-                row |= {"path": path, "kind": kind, "capture": ident}
-                if kind == "request":  # the response points at it
-                    pass
-                elif kind == "metadata":
+                row |= {"path": path, "kind": kind, "id": head["warc-record-id"], "concurrent": head["warc-concurrent-to"].split(", ") if "warc-concurrent-to" in head else []}
+                if kind == "metadata":
                     fields = dict(x.split(": ", 1) for x in body.decode().split("\r\n"))
-                    row["capture"] = head["warc-concurrent-to"]
                     row["page_id"] = int(fields["page-id"]) if "page-id" in fields else None
                     row["url"] = bytes.fromhex(fields["url-utf8-hex"]).decode() if "url-utf8-hex" in fields else None
                     row["payload_length"] = int(fields["payload-length"])
-                else:
+                    row["refers_to_page"] = int(fields["refers-to-page-id"]) if "refers-to-page-id" in fields else None
+                elif kind in _MAIN:
                     payload = body.partition(b"\r\n\r\n")[2]
                     row["header_digest"] = head["warc-payload-digest"].removeprefix("sha1:")
                     if kind == "response":
                         row |= {"payload_bytes": len(payload), "payload_digest": digest(payload), "payload": payload if payloads else None}
                     else:
-                        row["refers_to"] = int(head["warc-refers-to-page"])
-                    row["request"] = head["warc-concurrent-to"]
+                        row["refers_to_id"] = head["warc-refers-to"]
                 yield row
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 held, size = [], 0
-                for row in _one_capture_key(rows(path)):
+                for row in rows(path):
                     held.append(row)
-                    size += len(row["payload"] or b"") + 200
+                    size += len(row["payload"] or b"") + 300
                     if size > common.SLICE_BYTES:
                         yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in held], k) for n, k in zip(names, kinds)], names)
                         held, size = [], 0
@@ -216,51 +224,50 @@ def read(archives: DataFrame, payloads: bool = True) -> DataFrame:
     return archives.select("path").mapInArrow(run, _RECORD)
 
 
-def _one_capture_key(rows: Iterator[dict]) -> Iterator[dict]:
-    """Requests get the id of the response that names them as concurrent, which follows in the same file."""
-    waiting: dict[str, dict] = {}
-    for row in rows:
-        if row["kind"] == "request":
-            waiting[row["capture"]] = row
-            continue
-        asked = waiting.pop(row.pop("request", None), None)
-        if asked:
-            yield asked | {"capture": row["capture"]}
-        yield row
-    yield from waiting.values()
-
-
 def assemble(records: DataFrame) -> DataFrame:
-    """One nested row per capture from its request, response or revisit, and metadata records.
+    """One nested row per capture from its request, response or revisit, and metadata records, in whatever files they lie.
 
-    Records are joined on the response's id, which Concurrent-To gives for each; a
-    record without partners makes a row with nulls for what is missing.
+    A capture has the id of its response. Another record belongs to the response that
+    names it as concurrent, else to the one it names itself, directly or through a
+    request; a record without partners makes a row with nulls for what is missing.
     """
+    main = F.col("kind").isin(*_MAIN)
+    named = records.where(main).select(F.explode("concurrent").alias("id"), F.col("id").alias("capture"))
+    naming = records.where(F.col("kind") == "request").select("id", F.get("concurrent", F.lit(0)).alias("capture")).where("capture is not null")
+    links = named.select("*", F.lit(0).alias("rank")).unionByName(naming.select("*", F.lit(1).alias("rank")))
+    links = links.groupBy("id").agg(F.min(F.struct("rank", "capture")).alias("x")).select("id", F.col("x.capture").alias("capture"))
+    others = records.where(~main).withColumn("other", F.get("concurrent", F.lit(0)))
+    own = others.join(links, "id", "left").withColumnRenamed("capture", "by_id")
+    both = own.join(links.withColumnRenamed("id", "other").withColumnRenamed("capture", "by_other"), "other", "left").drop("other")
+    both = both.withColumn("capture", F.coalesce("by_id", "by_other", F.get("concurrent", F.lit(0)), "id")).drop("by_id", "by_other")
+    whole = records.where(main).withColumn("capture", F.col("id")).unionByName(both)
     part = lambda kinds, *names: F.max(F.when(F.col("kind").isin(*kinds), F.struct(*names)))
-    return records.groupBy("capture").agg(
+    nested = whole.groupBy("capture").agg(
         part(["request"], F.lit(True).alias("present"), "path").alias("request"),
-        part(["response", "revisit"], "kind", "payload_bytes", "payload_digest", "header_digest", "refers_to", "payload").alias("response"),
-        part(["metadata"], "page_id", "url", "payload_length").alias("metadata"),
+        part(_MAIN, "kind", "payload_bytes", "payload_digest", "header_digest", "refers_to_id", "payload").alias("response"),
+        part(["metadata"], "page_id", "url", "payload_length", "refers_to_page").alias("metadata"),
     )
+    # refers_to_id is the record that a revisit names, refers_to the page_id that its metadata gives for it
+    return nested.withColumn("response", F.col("response").withField("refers_to", F.col("metadata.refers_to_page")))
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, least: int = 0, label: str = "warc") -> DataFrame:
     """Pages written to archives in the shared folder and read back: page_id, url, payload_bytes, payload_digest, record_type, refers_to.
 
     A revisit carries no payload; its length and digest are those its metadata and
-    header give, and check() in the tests holds them against the response's.
+    header give, and the tests follow WARC-Refers-To to the response to compare them.
     """
     folder = common.staged_path(spark, label)
     listed = common.stage(write(pages, folder + "/archives", least), label + "-list")
     # a number of partitions that isn't taken back: the rows are few and short, what they name isn't
     archives = listed.repartition(max(1, min(READERS, listed.count())))
-    whole = assemble(read(archives, payloads=False))
-    refers = F.col("response.refers_to")
+    # read once: assembly goes over the records more than once
+    whole = assemble(common.stage(read(archives, payloads=False).drop("payload"), label + "-records").withColumn("payload", F.lit(None).cast("binary")))
     return whole.select(
         F.col("metadata.page_id").alias("page_id"),
         F.coalesce("response.payload_bytes", "metadata.payload_length").alias("payload_bytes"),
         F.coalesce("response.payload_digest", "response.header_digest").alias("payload_digest"),
         F.col("response.kind").alias("record_type"),
-        F.when(refers >= 0, refers).alias("refers_to"),
+        F.col("response.refers_to").alias("refers_to"),
         F.col("metadata.url").alias("url"),
     )
