@@ -15,7 +15,7 @@ def duck():
     if not os.path.isdir(FOLDER):
         pytest.skip("no test tables")
     connection = duckdb.connect()
-    for name in ("customer", "events", "lineitem"):
+    for name in ("customer", "events", "lineitem", "supplier"):
         connection.sql(f"create view {name} as select * from '{FOLDER}/{name}.parquet'")
     return connection
 

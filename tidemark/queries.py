@@ -47,13 +47,21 @@ def oplog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log in four layers: prio 0 (newest tenth, in memory), 1 and 2 (level 0), 3 (oldest, level 1)."""
-    entries = oplog(spark, sf_dir)
+    entries = ranked(oplog(spark, sf_dir), "seq")
     n = entries.count()
-    # event_id numbers the log without gaps; the cuts are found without a global window
-    low = entries.agg(F.min("seq")).first()[0] or 0
-    p = F.col("seq") - low + 1
+    p = F.col("rank")
     prio = F.when(p > n * 90 // 100, 0).when(p > n * 70 // 100, 1).when(p > n * 40 // 100, 2).otherwise(3)
-    return entries.withColumn("prio", prio)
+    return entries.withColumn("prio", prio).drop("rank")
+
+
+def ranked(rows: DataFrame, column: str, width: int = 4096) -> DataFrame:
+    """rows with their rank (from 1) by a whole number without repeats: counts of ranges of numbers, then a rank in each range."""
+    bucket = F.floor(F.col(column) / width)
+    rows = rows.withColumn("bucket", bucket)
+    before = W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)  # over one row for each range
+    counts = rows.groupBy("bucket").agg(F.count("*").alias("c")).select("bucket", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("offset"))
+    inner = F.row_number().over(W.partitionBy("bucket").orderBy(column))
+    return rows.join(counts, "bucket").withColumn("rank", F.col("offset") + inner).drop("bucket", "offset")
 
 
 def runs(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
@@ -354,3 +362,6 @@ def kv_lineitem_upsert(spark, sf_dir):
 def kv_lineitem_range(spark, sf_dir):
     """A key range of it."""
     return _pairs(merge.live(merge.bounded(lineitem_log(spark, sf_dir), KeyRange(included("0000000100:1"), excluded("0000000200:1")))))
+
+
+from . import table_queries as _table_queries  # noqa: E402, F401  (registers its queries here)

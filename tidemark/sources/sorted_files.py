@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.keys import bloom_bits_per_key
 from ..model import RECORD, TableOptions
 from .manifest import FileEntry
 
@@ -16,8 +18,9 @@ DATA = "data"
 def write(entries: DataFrame, files, options: TableOptions, rows: int, size: int) -> list[FileEntry]:
     """Entries (unique keys) written in files with disjoint key ranges of about target_file_size.
 
-    rows and size (bytes) are estimates; they set the number of files. The files are
-    no part of the table until a commit names them.
+    rows and size (bytes) are estimates, too high where rows are merged or dropped; they
+    set the number of files. The files are no part of the table until a commit names
+    them. Of the written rows only key and seq are read again, for the files' ranges.
     """
     if not rows:
         return []
@@ -26,7 +29,9 @@ def write(entries: DataFrame, files, options: TableOptions, rows: int, size: int
     dealt = entries.coalesce(1) if count == 1 else entries.repartitionByRange(count, "key")
     sorted_ = dealt.sortWithinPartitions("key").select("key", "seq", "value")
     writer = sorted_.write.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.fpp#key", str(options.bloom_fpp))
-    writer = writer.option("parquet.bloom.filter.expected.ndv#key", str(max(64, -(-rows // count))))
+    keys = max(64, -(-rows // count))
+    limit = max(1 << 20, keys * bloom_bits_per_key(keys, options.bloom_fpp) // 4)  # twice what the rate takes: filters are powers of two
+    writer = writer.option("parquet.bloom.filter.expected.ndv#key", str(keys)).option("parquet.bloom.filter.max.bytes", str(limit))
     writer = writer.option("parquet.page.size", str(max(1024, options.block_size))).option("parquet.page.row.count.limit", "2000")
     url = files.url(folder)
     writer.parquet(url)
@@ -38,7 +43,14 @@ def write(entries: DataFrame, files, options: TableOptions, rows: int, size: int
 
 
 def read(spark: SparkSession, files, entries: list[FileEntry]) -> DataFrame:
-    """The rows of some files."""
+    """The rows of some files, seq as the table counts it."""
     if not entries:
         return spark.createDataFrame([], RECORD)
-    return spark.read.schema(RECORD).parquet(*(files.url(e.name) for e in entries))
+    by_shift: dict[int, list[str]] = {}
+    for e in entries:
+        by_shift.setdefault(e.shift, []).append(files.url(e.name))
+    parts = []
+    for shift, urls in sorted(by_shift.items()):
+        rows = spark.read.schema(RECORD).parquet(*urls)
+        parts.append(rows.withColumn("seq", F.col("seq") + F.lit(shift)) if shift else rows)
+    return reduce(DataFrame.unionByName, parts)

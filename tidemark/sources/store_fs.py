@@ -32,6 +32,11 @@ class LocalFiles:
             os.link(draft, path)  # fails if the name is taken
         finally:
             draft.unlink()
+        folder = os.open(path.parent, os.O_RDONLY)  # the name lasts, too
+        try:
+            os.fsync(folder)
+        finally:
+            os.close(folder)
 
     def append(self, name: str, data: bytes, sync: bool = False) -> None:
         """Adds to a file."""
@@ -46,6 +51,9 @@ class LocalFiles:
     def read(self, name: str) -> bytes:
         return (self.root / name).read_bytes()
 
+    def exists(self, name: str) -> bool:
+        return (self.root / name).exists()
+
     def list(self, folder: str) -> list[str]:
         """Names in a folder, sorted; none if it isn't there."""
         path = self.root / folder
@@ -95,6 +103,9 @@ class HadoopFiles:
         stream.close()
         return bytes(data)
 
+    def exists(self, name: str) -> bool:
+        return self.fs.exists(self._path(name))
+
     def list(self, folder: str) -> list[str]:
         path = self._path(folder)
         return sorted(s.getPath().getName() for s in self.fs.listStatus(path)) if self.fs.exists(path) else []
