@@ -1,6 +1,7 @@
 """Line and piece dedup: planted repeats go, the rest stays, offsets are those of the input."""
 
 import random
+import re
 
 from tidemark.llm import lines
 
@@ -118,3 +119,86 @@ def test_passages_of_51_words_go_whole(spark):
     for k in range(len(passages)):
         assert left[2 * k + 1] == [*(f"q{k}.{i}" for i in range(9)), f"four{k}", f"five{k}"], k
     assert all(len(left[2 * k]) == 54 for k in range(30))
+
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def laid_out(rows):
+    """Rows by rank, each with its words as (start, end, lower-cased, line)."""
+    ranked = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0, k))
+    lower = {c: c + 32 for c in range(65, 91)}
+    return [(k, [(m.start(), m.end(), m[0].translate(lower), rows[k][1].count("\n", 0, m.start())) for m in WORD.finditer(rows[k][1] or "")]) for k in ranked]
+
+
+def plain_lines(rows):
+    """Row number -> (text, spans): whole lines by rank, nothing else. No code of the operator."""
+    first, out = {}, {}
+    for rank, (k, words) in enumerate(laid_out(rows)):
+        gone = set()
+        for line in sorted({w[3] for w in words}):
+            at = [i for i, w in enumerate(words) if w[3] == line]
+            key = tuple(words[i][2] for i in at)
+            seen = first.setdefault(key, (rank, line))
+            size = len(rows[k][1][words[at[0]][0] : words[at[-1]][1]].encode())
+            if seen[0] < rank or seen[1] != line and (len(at) >= 16 or size >= 80):
+                gone.update(at)
+        spans, text = [], rows[k][1] or ""
+        for i in sorted(gone):
+            if i - 1 not in gone:
+                end = next((j for j in range(i, len(words)) if j not in gone), None)
+                spans.append((words[i][0], len(text) if end is None else words[end][0]))
+        kept, at = "", 0
+        for a, b in spans:
+            kept, at = kept + text[at:a], b
+        out[k] = (None if rows[k][1] is None else kept + text[at:], spans)
+    return out
+
+
+def test_whole_lines_against_plain_python(spark):
+    g = random.Random(14)
+    word = lambda: "".join(g.choice("abcdefghijklmnopqrstuvwxyzäß漢") for _ in range(5))
+    line = lambda: " ".join(word() for _ in range(g.choice([1, 2, 5, 9, 20, 40])))
+    pool = [line() for _ in range(25)]
+    vary = lambda x: g.choice([x, x.upper() if x.isascii() else x, "  " + x, x.replace(" ", "\t "), x + " \r"])
+    rows = []
+    for i in range(60):
+        chosen = [vary(g.choice(pool)) if g.random() < 0.4 else line() for _ in range(g.randrange(1, 7))]
+        rows.append((g.choice([i, i // 2, None]), g.choice(["", "\n", " \n"]) + "\n".join(chosen) + g.choice(["", "\n"])))
+    once = line()
+    rows += [(100, f"{once}\nother words\n{once}\nfurther words"), (101, None), (102, ""), (103, "\n \n")]
+    out = lines.dedup(frame(spark, rows).coalesce(1)).collect()
+    expected = plain_lines(rows)
+    want = sorted((str(rows[k][0]), str(t), sum(b - a for a, b in s), s) for k, (t, s) in expected.items())
+    got = sorted((str(r["doc_id"]), str(r["text"]), r["n_removed"], [(x["start"], x["end"]) for x in r["removed"]]) for r in out)
+    assert got == want and sum(x[2] > 0 for x in want) > 20
+
+
+def test_passages_against_plain_python(spark):
+    """What may go and what has to, by all strings of 16 and 31 words."""
+    rows = [r for r in documents(seed=15, count=60) if r[1]]
+    out = {}
+    for r in lines.dedup(frame(spark, rows).coalesce(1)).collect():
+        out[r["doc_id"]] = r
+    short, long, line_of = {}, {}, plain_lines(rows)
+    some = 0
+    for rank, (k, words) in enumerate(laid_out(rows)):
+        ident, text = rows[k]
+        r, terms = out[ident], [w[2] for w in words]
+        spans = [(x["start"], x["end"]) for x in r["removed"]]
+        kept, at = "", 0
+        for a, b in spans:
+            kept, at = kept + text[at:a], b
+        assert r["text"] == kept + text[at:] and r["n_removed"] == len(text) - len(r["text"])
+        gone = [any(a <= w[0] and w[1] <= b for a, b in spans) for w in words]
+        may = [any(a <= w[0] and w[1] <= b for a, b in line_of[k][1]) for w in words]
+        assert all(g for g, m in zip(gone, may) if m)  # whole lines go
+        for i in range(len(terms) - 15):
+            if short.setdefault(tuple(terms[i : i + 16]), (rank, i)) != (rank, i):
+                may[i : i + 16] = [True] * 16
+        assert all(m for g, m in zip(gone, may) if g), ident
+        for i in range(len(terms) - 30):
+            if long.setdefault(tuple(terms[i : i + 31]), (rank, i)) != (rank, i):
+                assert sum(gone[i : i + 31]) >= 13, (ident, i)
+                some += 1
+    assert some > 100

@@ -83,3 +83,31 @@ def test_components(spark):
     found = {r["node"]: r["component"] for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert found == {i: 0 for i in range(61)} | {100: 100, 200: 100, 300: 100}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_a_large_group_of_near_copies_is_linear(spark, monkeypatch):
+    """Members of one hub that are near copies of it: as many rows as members and parts, and nothing is left to pair up."""
+    monkeypatch.setattr(minmax, "UNIT_MEMBERS", 50)
+    for n in (600, 1200):
+        sets = [np.unique(np.r_[np.arange(100), 1000 + i]).astype(np.uint64) for i in range(n)]
+        members = spark.createDataFrame([(i, len(s), bytearray(s.tobytes())) for i, s in enumerate(sets)], "node long, size long, shingles binary")
+        groups = spark.createDataFrame([(0, i) for i in range(n)], "hub long, node long")
+        rows = minmax._with_hub(groups, members)
+        assert rows.count() == n - 1 + n // 50
+        beside = minmax._beside_hub(rows)
+        assert beside.where("linked").count() == n - 1 == beside.count()
+        assert minmax._units(beside, members).count() == 0
+
+
+def test_one_id_with_several_texts(spark):
+    """Every text of an id links it, also if two of its texts have equally many shingles."""
+    base, other = [f"t{k}" for k in range(40)], [f"s{k}" for k in range(40)]
+    rows = [(1, " ".join(base)), (1, " ".join(other)), (2, " ".join([*base[:39], "x"])), (3, " ".join([*other[:39], "y"])), (4, "nothing like it at all")]
+    out = {(r["doc_id"], r["component_id"]) for r in minmax.components(frame(spark, rows)).collect()}
+    assert out == {(1, 1), (2, 1), (3, 1), (4, 4)}
+
+
+def test_without_the_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f")], "id long, body string")
+    assert minmax.keep_one(docs).count() == 1
+    assert minmax.keep_one(docs.toDF("DOC_ID", "Text")).columns == ["DOC_ID", "Text"]

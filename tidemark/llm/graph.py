@@ -14,8 +14,11 @@ ROUNDS = 60
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every neighbour larger than a node is linked to the node's least neighbour."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    above = both.where("b > a")
+    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.when(F.col("b") > F.col("a"), 1)).alias("times")).select("a", F.least("a", "m").alias("m"), "times")
+    # stars concentrate links on their least node: a hot key
+    joined = common.join_counted(above, common.stage(least.where("times > 0"), "least"), "a")
+    return joined.select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:

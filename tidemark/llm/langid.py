@@ -251,7 +251,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs, all columns, whose text has a language."""
     held = docs.sparkSession.sparkContext.broadcast((model.languages, model.entries, model.table))
-    at = docs.columns.index("text")
+    at = common.column_at(docs.columns, "text")
+    if at is None:  # nothing has a language
+        return docs.where(F.lit(False))
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
     scorer: list[Scorer] = []
 

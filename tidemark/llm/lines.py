@@ -206,10 +206,10 @@ def _passages(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _deduped(rows: DataFrame) -> DataFrame:
-    found = pieces(rows)
+    found = common.stage(pieces(rows), "pieces")
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "n", "place", "word")
-    repeated = found.groupBy("h").agg(F.count("*").alias("c"), F.min(rank).alias("first")).where("c > 1").select("h", "first")
-    later = found.join(repeated, "h").where(~((F.col("first.n") == F.col("n")) & (F.col("first.place") == F.col("place"))))
+    repeated = found.groupBy("h").agg(F.count("*").alias("times"), F.min(rank).alias("first")).where("times > 1")
+    later = common.join_counted(found, common.stage(repeated, "repeated"), "h").where(~((F.col("first.n") == F.col("n")) & (F.col("first.place") == F.col("place"))))
     later = common.stage(later.select("n", "place", "word", F.col("first.n").alias("src"), F.col("first.word").alias("at")), "later")
     same = F.col("src") == F.col("n")
     gone = later.groupBy("n").agg(F.collect_list(F.when(~same, F.col("place"))).alias("gone"), F.collect_list(F.when(same, F.col("place"))).alias("own"))

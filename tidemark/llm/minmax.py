@@ -8,10 +8,12 @@ probability (1 - 0.85**5)**25 < 5e-7. Every candidate is confirmed on full sets.
 Documents with equal sets are one class from the start. A class meets others
 through the least class of each bucket, its hub: the group of a hub is all classes
 that share a bucket with it where it is the least, so any two candidates of a bucket
-are in one group. A group is dealt out by its size: one above UNIT_SHINGLES or
-UNIT_MEMBERS is cut in parts, and every pair of parts is a unit of work of bounded
-size. In a unit only pairs not yet linked by others are confirmed, and a spanning
-forest of links leaves it, never all pairs. No group is capped.
+are in one group. First every member is confirmed against the hub, which is linear in
+the members: near copies of one text are done then. What a hub doesn't link is compared
+with the rest of its group: members above UNIT_SHINGLES or UNIT_MEMBERS are cut in parts,
+and every pair of parts, one of them of such others, is a unit of work of bounded size.
+In a unit only pairs not yet linked by others are confirmed, and a spanning forest of
+links leaves it, never all pairs. No group is capped.
 
 Words are runs of characters other than ASCII white space, A-Z lower-cased;
 shingles are five words, or all of fewer words. Null text and text without words
@@ -176,16 +178,75 @@ def confirm(nodes: np.ndarray, sets: list[np.ndarray], side: np.ndarray) -> list
     return links
 
 
-def _units(groups: DataFrame, members: DataFrame) -> DataFrame:
-    """(hub, unit, side, node, shingles): every pair of parts of every group."""
-    sized = groups.join(members.select("node", "size"), "node")
-    parts = sized.groupBy("hub").agg(F.sum("size").alias("total"), F.count("*").alias("members"))
-    count = F.greatest(F.ceil(F.col("total") / UNIT_SHINGLES), F.ceil(F.col("members") / UNIT_MEMBERS))
-    parts = parts.select("hub", count.cast("int").alias("parts"))
-    dealt = groups.join(parts, "hub").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct(F.least(x, "part").alias("i"), F.greatest(x, "part").alias("j")))
-    split = dealt.withColumn("unit", F.explode(pairs))
-    side = F.when(F.col("unit.i") == F.col("unit.j"), 2).when(F.col("part") == F.col("unit.i"), 0).otherwise(1)
+def _with_hub(groups: DataFrame, members: DataFrame) -> DataFrame:
+    """(hub, part, node, shingles): the members of every group, dealt out in parts of UNIT_MEMBERS, and the hub in each part."""
+    sizes = groups.groupBy("hub").agg(F.count("*").alias("times"))
+    parts = common.stage(sizes.withColumn("parts", F.ceil(F.col("times") / UNIT_MEMBERS).cast("int")), "group-sizes")
+    own = F.array(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    part = F.explode(F.when(F.col("node") == F.col("hub"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(own))
+    dealt = common.join_counted(groups, parts, "hub").withColumn("part", part)
+    return dealt.select("hub", "part", "node").join(members.select("node", "shingles"), "node").select("hub", "part", "node", "shingles")
+
+
+def _beside_hub(rows: DataFrame) -> DataFrame:
+    """(hub, node, linked) of every member of every group, held against the group's hub; of rows as _with_hub() makes them.
+
+    They arrive sorted, the hub, which is the least, first: a task holds one hub's sets
+    at a time, and rows are as many as members and parts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, hubs = None, []
+        for batch in batches:
+            out: list[tuple[int, int, bool]] = []
+            for k, (hub, part, node) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(3)))):
+                shingles = np.frombuffer(batch.column(3)[k].as_py(), np.uint64)
+                if (hub, part) != key:
+                    key, hubs = (hub, part), []
+                if node == hub:
+                    hubs.append(shingles)
+                else:
+                    out.append((hub, node, any(similar(shingles, h) for h in hubs)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.bool_()))], ["hub", "node", "linked"])
+
+    found = rows.repartition("hub", "part").sortWithinPartitions("hub", "part", "node").mapInArrow(run, "hub long, node long, linked boolean")
+    return found.groupBy("hub", "node").agg(F.max("linked").alias("linked"))  # a doc_id may have several sets
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets are linked."""
+    if 100 * min(len(a), len(b)) < LEAST * max(len(a), len(b)):
+        return False
+    small, large = (a, b) if len(a) < len(b) else (b, a)
+    at = np.searchsorted(large, small)
+    at[at == len(large)] = 0
+    both = int((large[at] == small).sum())
+    return 100 * both >= LEAST * (len(a) + len(b) - both)
+
+
+def _units(beside: DataFrame, members: DataFrame) -> DataFrame:
+    """(hub, unit, side, node, shingles): what the hub leaves open in its group.
+
+    Members that it links are connected already; only the others are compared, among
+    themselves and with the linked ones, part by part. A group whose members all link
+    with the hub has no units, however large it is. unit: number of a part of others,
+    number of the other part, and whether that one is of linked members.
+    """
+    sizes = members.groupBy("node").agg(F.sum("size").alias("size"))
+    sized = beside.join(sizes, "node")
+    open_ = ~F.col("linked")
+    count = lambda c: F.greatest(F.ceil(F.sum(F.when(c, F.col("size"))) / UNIT_SHINGLES), F.ceil(F.count(F.when(c, 1)) / UNIT_MEMBERS), F.lit(0)).cast("int")
+    parts = sized.groupBy("hub").agg(count(open_).alias("others"), count(F.col("linked")).alias("ones"), F.count("*").alias("times"))
+    dealt = common.join_counted(beside, common.stage(parts.where("others > 0 and times > 1"), "open-groups"), "hub")
+    own = F.pmod(F.xxhash64("node"), F.when(open_, F.col("others")).otherwise(F.col("ones"))).cast("int")
+    dealt = dealt.withColumn("part", own)
+    span = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    unit = lambda i, j, linked: F.struct(i.alias("i"), j.alias("j"), F.lit(linked).alias("linked"))
+    among = F.transform(span(F.col("others")), lambda x: unit(F.least(x, "part"), F.greatest(x, "part"), False))
+    across = F.transform(span(F.col("ones")), lambda x: unit(F.col("part"), x, True))
+    split = dealt.withColumn("unit", F.explode(F.when(open_, F.concat(among, across)).otherwise(F.transform(span(F.col("others")), lambda x: unit(x, F.col("part"), True)))))
+    side = F.when(F.col("unit.linked"), F.when(open_, 0).otherwise(1)).when(F.col("unit.i") == F.col("unit.j"), 2).when(F.col("part") == F.col("unit.i"), 0).otherwise(1)
     return split.select("hub", "unit", side.cast("int").alias("side"), "node").join(members.select("node", "shingles"), "node")
 
 
@@ -207,22 +268,22 @@ def _links(units: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for batch in batches:
-            hubs, i, j = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            for k, at in enumerate(zip(hubs, i, j)):
+            for k, at in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)))):
                 if at != key:
                     flush()
                     key, nodes, sets, sides = at, [], [], []
-                nodes.append(batch.column(4)[k].as_py())
-                sets.append(np.frombuffer(batch.column(5)[k].as_py(), np.uint64))
-                sides.append(batch.column(3)[k].as_py())
+                nodes.append(batch.column(5)[k].as_py())
+                sets.append(np.frombuffer(batch.column(6)[k].as_py(), np.uint64))
+                sides.append(batch.column(4)[k].as_py())
             if len(out) > 10_000:
                 yield batch_of()
         flush()
         if out:
             yield batch_of()
 
-    flat = units.select("hub", F.col("unit.i").alias("i"), F.col("unit.j").alias("j"), "side", "node", "shingles")
-    return flat.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j").mapInArrow(run, "a long, b long")
+    key = ("hub", "i", "j", "linked")
+    flat = units.select("hub", "unit.*", "side", "node", "shingles").select(*key, "side", "node", "shingles")
+    return flat.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long")
 
 
 def near_links(rows: DataFrame, sketched: DataFrame) -> DataFrame:
@@ -233,21 +294,24 @@ def near_links(rows: DataFrame, sketched: DataFrame) -> DataFrame:
     classes = sketched.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull()).groupBy("digest")
     nodes = common.stage(classes.agg(F.min("doc_id").alias("node"), F.max("bands").alias("bands")), "classes")
     keys = common.stage(nodes.select("node", F.explode("bands").alias("key")), "bands")
-    hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("c")).where("c > 1").select("key", "hub")
-    # staged, so that both sides of the join come from exchanges and a hot bucket can be split
-    groups = common.stage(keys.join(common.stage(hubs, "hubs"), "key").select("hub", "node").distinct(), "groups")
+    hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("times")).where("times > 1")
+    groups = common.stage(common.join_counted(keys, common.stage(hubs, "hubs"), "key").select("hub", "node").distinct(), "groups")
     wanted = groups.select("node").distinct().join(nodes.select("node", "digest"), "node")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(common.utf8(batch, "text"))
         keep = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == d for s, d in zip(sets, batch.column(1).to_pylist())]
         sets = [s for s, k in zip(sets, keep) if k]
-        nodes = batch.column(0).filter(pa.array(keep, pa.bool_()))
-        return pa.RecordBatch.from_arrays([nodes, pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "size", "shingles"])
+        nodes, digests = (batch.column(i).filter(pa.array(keep, pa.bool_())) for i in range(2))
+        return pa.RecordBatch.from_arrays([nodes, digests, pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "digest", "size", "shingles"])
 
     texts = rows.withColumnRenamed("doc_id", "node").join(wanted, "node").select("node", "digest", "text")
-    members = common.over_text(texts, run, "node long, size long, shingles binary").dropDuplicates(["node", "size"])
-    return _links(_units(groups, common.stage(members, "sets")))
+    # a doc_id with several texts has a set for each
+    members = common.over_text(texts, run, "node long, digest binary, size long, shingles binary").dropDuplicates(["node", "digest"])
+    members = common.stage(members, "sets")
+    beside = common.stage(_beside_hub(_with_hub(groups, members)), "beside-hub")
+    direct = beside.where("linked").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    return direct.unionByName(_links(_units(beside, members)))
 
 
 def components(docs: DataFrame) -> DataFrame:
@@ -269,8 +333,10 @@ def _components(rows: DataFrame, sketched: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, that stand for their component."""
+    """The rows of docs, all columns, that stand for their component. Without a column doc_id all do."""
     gone = components(docs).where(~F.col("kept")).select("doc_id").distinct()
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
-    at = next(i for i, name in enumerate(docs.columns) if name == "doc_id")
+    at = common.column_at(docs.columns, "doc_id")
+    if at is None:
+        return docs
     return plain.join(gone, plain[f"c{at}"].cast("long") == gone["doc_id"], "left_anti").toDF(*docs.columns)
