@@ -95,3 +95,7 @@ def test_small_hosts_and_copies(spark):
     rows = [(i, "http://small.example/", page.format(i), None) for i in range(3)] + [(10 + i, "http://copies.example/", page.format(0), None) for i in range(12)]
     out = {r["page_id"]: r["text"] for r in h.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert out == {i: f"text {i}" for i in range(3)} | {10 + i: "text 0 Same below every text" for i in range(12)}
+
+
+def test_a_nul_is_text():
+    assert h.main_text(h.parse("<article><p>a<b>\0</b>c</p></article>"), {}, 1) == "a\0c"

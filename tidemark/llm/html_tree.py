@@ -20,7 +20,8 @@ is one row.
 
 Null or empty html has empty text. A null url is a host of its own. Unclosed and
 unmatched tags are tolerated. Rows are kept as they are, repeated ones too; a null
-page_id or url stays null.
+page_id or url stays null. NUL is a character of the text, but a block of NULs alone is none. Nothing is ranked, so there are no ties: pages of one host
+are counted in no order.
 """
 
 from __future__ import annotations
@@ -95,8 +96,8 @@ def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
-#: A mark between text parts where a block ends.
-BREAK = "\0"
+#: A mark between text parts where a block ends; no text is it.
+BREAK = object()
 
 
 def parse(source: str) -> Node:
@@ -152,12 +153,18 @@ def parse(source: str) -> Node:
     return root
 
 
+def _block(parts: list[str]) -> str:
+    """The text of a block; empty if it holds nothing but white space and NULs."""
+    text = " ".join(html.unescape("".join(parts)).split())
+    return text if text.strip("\0 ") else ""
+
+
 def blocks(node: Node) -> list[str]:
     """The node's own text blocks, without those of its children."""
     out, now = [], []
     for part in [*node.parts, BREAK]:
         if part is BREAK or isinstance(part, Node):
-            text = " ".join(html.unescape("".join(now)).split())
+            text = _block(now)
             if text:
                 out.append(text)
             now = []
@@ -264,7 +271,7 @@ def main_text(root: Node, importance: dict[int, float], pages: int) -> str:
         now: list[str] = []
 
         def end() -> None:
-            text = " ".join(html.unescape("".join(now)).split())
+            text = _block(now)
             if text:
                 out.append(text)
             now.clear()

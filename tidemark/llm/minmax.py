@@ -209,6 +209,7 @@ def _beside_hub(rows: DataFrame) -> DataFrame:
                     out.append((hub, node, any(similar(shingles, h) for h in hubs)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.bool_()))], ["hub", "node", "linked"])
+        common.release()
 
     found = rows.repartition("hub", "part").sortWithinPartitions("hub", "part", "node").mapInArrow(run, "hub long, node long, linked boolean")
     return found.groupBy("hub", "node").agg(F.max("linked").alias("linked"))  # a doc_id may have several sets
