@@ -20,6 +20,18 @@ _LIBC = ctypes.CDLL(None)
 SLICE_BYTES = 1 << 20
 
 
+#: Bytes of a batch that goes to a Python worker (a single longer row goes alone). A batch is held several
+#: times over: as it is built, as it is read, and in what is computed of it.
+BATCH_BYTES = 4 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds what Python workers are sent at once, unless the session has a bound of its own."""
+    if spark.conf.get(_BATCH_CONF, None) == "67108864b":  # Spark's default
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, by a path that only Spark has to be able to read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -32,6 +44,7 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     without case; of columns with the same name the first counts. A column that is
     absent is null.
     """
+    bound_batches(df.sparkSession)
     plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
     return plain.select(*_picked(df.columns, columns))
 
@@ -71,6 +84,7 @@ def with_numbers(df: DataFrame, label: str = "numbered") -> DataFrame:
     two jobs, as a scan is cut for the cores there are. Any other plan is written once,
     with its numbers, to the shared folder.
     """
+    bound_batches(df.sparkSession)
     names = [f"c{i}" for i in range(len(df.columns))]
     if _scanned(df):
         row = F.col("_metadata.row_index")
@@ -163,6 +177,7 @@ def over_text(df: DataFrame, rows: Callable, schema: str, column: str = "text",
             yield rows(part)
         release()
 
+    bound_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
