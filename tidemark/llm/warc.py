@@ -236,7 +236,8 @@ def assemble(records: DataFrame) -> DataFrame:
     naming = records.where(F.col("kind") == "request").select("id", F.get("concurrent", F.lit(0)).alias("capture")).where("capture is not null")
     links = named.select("*", F.lit(0).alias("rank")).unionByName(naming.select("*", F.lit(1).alias("rank")))
     links = links.groupBy("id").agg(F.min(F.struct("rank", "capture")).alias("x")).select("id", F.col("x.capture").alias("capture"))
-    others = records.where(~main).withColumn("other", F.get("concurrent", F.lit(0)))
+    # a record that names none is looked up by its own id again: nulls would all meet in one task
+    others = records.where(~main).withColumn("other", F.coalesce(F.get("concurrent", F.lit(0)), "id"))
     own = others.join(links, "id", "left").withColumnRenamed("capture", "by_id")
     both = own.join(links.withColumnRenamed("id", "other").withColumnRenamed("capture", "by_other"), "other", "left").drop("other")
     both = both.withColumn("capture", F.coalesce("by_id", "by_other", F.get("concurrent", F.lit(0)), "id")).drop("by_id", "by_other")
