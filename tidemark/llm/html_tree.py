@@ -14,9 +14,10 @@ page's article or main element is where text is looked for; inside it, paragraph
 headings are never taken for furniture by entropy (copies of a page on one host would
 lose their text), other branches are.
 
-Only counts are gathered by host, so a host with a third of all pages is aggregated like
-any other. All paths that two pages have are kept, however large the host: a host's tree
-is one row.
+Only counts are gathered by host and path, so a host with a third of all pages is aggregated
+like any other, and no task holds a host's tree: composite importance is computed level by
+level from the deepest one up. All paths that two pages have are kept, however large the host.
+A page gets the values of the paths that its text may depend on, by its row's number.
 
 Null or empty html has empty text. A null url is a host of its own. Unclosed and
 unmatched tags are tolerated. Rows are kept as they are, repeated ones too; a null
@@ -30,7 +31,10 @@ import hashlib
 import html
 import re
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +43,8 @@ from . import common
 
 LOW = 0.2
 DEPTH_WEIGHT = 0.9
+#: From this depth on DEPTH_WEIGHT ** depth is less than the rounding of a double.
+DEEPEST = 350
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -72,10 +78,10 @@ _MAIN_WORDS = frozenset("article post entry story content main".split())
 class Node:
     """An element (or the root): its style, block children and, in order, text parts and children."""
 
-    __slots__ = ("tag", "style", "words", "role", "hidden", "parts", "path")
+    __slots__ = ("tag", "style", "words", "role", "hidden", "parts", "path", "depth")
 
-    def __init__(self, tag: str, attributes: str = "", path: int = 0):
-        self.tag, self.parts = tag, []
+    def __init__(self, tag: str, attributes: str = "", path: int = 0, depth: int = 0):
+        self.tag, self.parts, self.depth = tag, [], depth
         self.words, self.role, self.hidden = (), "", False
         name = ""
         if attributes and attributes.strip(" /"):
@@ -145,7 +151,7 @@ def parse(source: str) -> Node:
                 break
             if stack[i].tag in _SCOPE:
                 break
-        node = Node(tag, attributes, stack[-1].path)
+        node = Node(tag, attributes, stack[-1].path, len(stack))
         stack[-1].parts.append(node)
         stack.append(node)
     if at < len(source):
@@ -186,8 +192,8 @@ def walk(node: Node) -> Iterator[tuple[Node, Node | None]]:
         todo += [(c, x) for c in _children(x)]
 
 
-def features(root: Node) -> set[tuple[int, int, str, int]]:
-    """(path, parent path, kind, feature) of a page: kind S for the children's styles, T for a text block."""
+def features(root: Node) -> set[tuple[int, int, int, str, int]]:
+    """(path, parent path, depth, kind, feature) of a page: kind S for the children's styles, T for a text block."""
     out = set()
     for node, up in walk(root):
         parent = up.path if up else 0
@@ -196,8 +202,8 @@ def features(root: Node) -> set[tuple[int, int, str, int]]:
             if c.style != last:  # runs of equal siblings are one
                 styles.append(c.style)
                 last = c.style
-        out.add((node.path, parent, "S", _hash("|".join(styles))))
-        out.update((node.path, parent, "T", _hash(b)) for b in blocks(node))
+        out.add((node.path, parent, node.depth, "S", _hash("|".join(styles))))
+        out.update((node.path, parent, node.depth, "T", _hash(b)) for b in blocks(node))
     return out
 
 
@@ -240,8 +246,12 @@ def _mains(root: Node) -> list[Node]:
     return found["article"] or outermost
 
 
-def main_text(root: Node, importance: dict[int, float], pages: int) -> str:
-    """A page's text without furniture and branches of low importance."""
+def main_text(root: Node, importance: dict[int, float], pages: int = 2) -> str:
+    """A page's text without furniture and branches of low importance.
+
+    pages: how many different pages the importance is known from; of one alone nothing
+    inside an article is taken for furniture by entropy.
+    """
     mains = _mains(root)
     # of several named containers those count that not every page repeats, or else all
     mains = [n for n in mains if n.tag in ("article", "main") or importance.get(n.path, 1.0) >= LOW] or mains
@@ -251,81 +261,92 @@ def main_text(root: Node, importance: dict[int, float], pages: int) -> str:
         up = {id(n): p for n, p in walk(root)}
         for n in mains:
             p = up[id(n)]
-            while p is not None:
+            while p is not None and id(p) not in holds:
                 holds.add(id(p))
                 p = up[id(p)]
-    out: list[str] = []
 
     def keep(node: Node, inside: bool) -> bool:
         if id(node) in holds or id(node) in chosen:
             return True
         if mains and not inside or _furniture(node, inside):
             return False
-        value = importance.get(node.path, 1.0)
-        if inside or node.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "html", "body", ""):
+        if inside:
             sure = node.tag in ("div", "section", "ul", "ol", "table", "dl") and pages > 1
-            return not (inside and sure and value < LOW / 2)
-        return value >= LOW
+            return not sure or importance.get(node.path, 1.0) >= LOW / 2
+        return node.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "html", "body", "") or importance.get(node.path, 1.0) >= LOW
 
-    def gather(node: Node, inside: bool) -> None:
-        now: list[str] = []
+    out: list[str] = []
+    now: list[str] = []
 
-        def end() -> None:
-            text = _block(now)
-            if text:
-                out.append(text)
-            now.clear()
-
-        for part in node.parts:
-            if isinstance(part, Node):
-                end()
-                if keep(part, inside):
-                    todo_depth[0] += 1
-                    if todo_depth[0] < 400:
-                        gather(part, inside or id(part) in chosen)
-                    else:
-                        _flat(part, out)
-                    todo_depth[0] -= 1
-            elif part is BREAK:
-                end()
-            elif inside or not mains:
-                now.append(part)
-        end()
-
-    todo_depth = [0]
-    gather(root, False)
+    def end() -> None:
+        text = _block(now)
+        if text:
+            out.append(text)
+        now.clear()
+
+    todo = [(iter(root.parts), False)]
+    while todo:
+        parts, inside = todo[-1]
+        part = next(parts, None)
+        if part is None or part is BREAK or isinstance(part, Node):
+            end()
+            if part is None:
+                todo.pop()
+            elif part is not BREAK and keep(part, inside):
+                todo.append((iter(part.parts), inside or id(part) in chosen))
+        elif inside or not mains:
+            now.append(part)
     return " ".join(out)
 
 
-def _flat(node: Node, out: list[str]) -> None:
-    """All text below a node that is too deep for recursion."""
-    todo: list[Node] = [node]
-    while todo:
-        n = todo.pop()
-        if not _furniture(n, True):
-            out += blocks(n)
-            todo += reversed(_children(n))
+class _Asked(dict):
+    """An importance that is one everywhere and remembers which paths it was asked for."""
+
+    def get(self, path: int, default: float) -> float:
+        self[path] = default
+        return default
 
 
-def style_tree(pages: DataFrame) -> DataFrame:
-    """One row per host: pages, and its paths with their own importance, from counts over all its pages.
+def asked(root: Node) -> list[int]:
+    """The paths on whose importance the page's text may depend.
 
-    Columns: host, pages, tree array<struct<path, parent, importance, once>>; once: children of one page alone.
+    A low importance only takes branches away, so no other path is asked for when some are low.
     """
-    schema = "host string, page long, path long, parent long, kind string, feature long"
+    seen = _Asked()
+    main_text(root, seen)
+    return list(seen)
+
+
+def page_features(rows: DataFrame) -> DataFrame:
+    """n, host, page (a hash of the html), asked() and features() of each row of (n, url, html)."""
+    feature = pa.struct([("path", pa.int64()), ("parent", pa.int64()), ("depth", pa.int32()), ("kind", pa.string()), ("feature", pa.int64())])
+
+    def lists(values: list, kind: pa.DataType) -> pa.ListArray:
+        offsets = np.concatenate([[0], np.cumsum([len(v) for v in values])])
+        flat = list(chain.from_iterable(values))
+        if pa.types.is_struct(kind):
+            flat = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*flat), kind)], fields=list(kind))
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat if isinstance(flat, pa.Array) else pa.array(flat, kind))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows: list[tuple] = []
+        hosts, hashes, wanted, found = [], [], [], []
         for url, source in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            page = _hash(source or "")
-            rows += [(host(url), page, *f) for f in features(parse(source or ""))]
-        columns = zip(*rows)
-        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [x.split()[0] for x in schema.split(", ")])
-
-    found = common.over_text(pages, run, schema, column="html").distinct()
-    counts = found.groupBy("host", "path", "parent", "kind", "feature").agg(F.count("*").cast("double").alias("c"))
-    own = counts.groupBy("host", "path", "parent").agg(
+            root = parse(source or "")
+            hosts.append(host(url))
+            hashes.append(_hash(source or ""))
+            wanted.append(asked(root))
+            found.append(features(root))
+        columns = [batch.column(0), pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), lists(wanted, pa.int64()), lists(found, feature)]
+        return pa.RecordBatch.from_arrays(columns, ["n", "host", "page", "asked", "found"])
+
+    schema = "n long, host string, page long, asked array<long>, found array<struct<path: long, parent: long, depth: int, kind: string, feature: long>>"
+    return common.over_text(rows.select("n", "url", "html"), run, schema, column="html")
+
+
+def style_tree(found: DataFrame) -> DataFrame:
+    """The paths that two different pages of a host have, from page_features(): host, path, parent, depth, own importance, and once, the number of children that one page alone has."""
+    counts = found.select("host", "page", F.inline("found")).distinct().groupBy("host", "path", "parent", "depth", "kind", "feature").agg(F.count("*").cast("double").alias("c"))
+    own = counts.groupBy("host", "path", "parent", "depth").agg(
         F.sum(F.when(F.col("kind") == "S", F.col("c"))).alias("n"),
         F.sum(F.when(F.col("kind") == "S", F.col("c") * F.log("c"))).alias("s"),
         F.sum(F.when(F.col("kind") == "T", F.col("c"))).alias("t"),
@@ -339,13 +360,14 @@ def style_tree(pages: DataFrame) -> DataFrame:
     own = common.stage(own.withColumn("alone", F.col("n") < 2), "paths")
     alone = own.where("alone").groupBy("host", F.col("parent").alias("path")).agg(F.count("*").alias("once"))
     kept = own.where(~F.col("alone")).join(alone, ["host", "path"], "left")
-    trees = kept.select("host", F.struct("path", "parent", importance.alias("importance"), F.coalesce("once", F.lit(0)).alias("once")).alias("x")).groupBy("host").agg(F.collect_list("x").alias("tree"))
-    size = own.where("parent = 0").select("host", F.col("n").cast("long").alias("pages"))  # the root is on every page, once
-    return size.join(trees, "host", "left").select("host", "pages", "tree")
+    return common.stage(kept.select("host", "path", "parent", "depth", importance.alias("importance"), F.coalesce("once", F.lit(0)).alias("once")), "style-tree")
 
 
 def composite(tree: list[dict]) -> dict[int, float]:
-    """Composite importance of each path: its own and, the less the deeper it stands, its children's mean."""
+    """Composite importance of each path of one host's tree, its top at depth 1: its own and, the less the deeper it stands, its children's mean.
+
+    What composites() computes of all hosts, for a tree that fits in memory.
+    """
     own = {x["path"]: x["importance"] for x in tree}
     once = {x["path"]: x.get("once", 0) for x in tree}
     below: dict[int, list[int]] = {}
@@ -366,23 +388,53 @@ def composite(tree: list[dict]) -> dict[int, float]:
     return out
 
 
+def composites(tree: DataFrame, least: int = 0) -> DataFrame:
+    """host, path and value, the composite importance, of all paths of style_tree() from depth least on.
+
+    One level after another, the deepest first: a path's children are aggregated by their
+    parent. From DEEPEST on children weigh nothing that a double could hold.
+    """
+    deepest = tree.agg(F.max("depth")).first()[0]
+    start = -1 if deepest is None else min(deepest, DEEPEST)
+    spark = tree.sparkSession
+    schema = "host string, path long, parent long, value double"
+    levels = [tree.where(F.col("depth") > start).select("host", "path", "parent", F.col("importance").alias("value"))]
+    below = spark.createDataFrame([], schema)
+    for depth in range(start, least - 1, -1):
+        sums = below.groupBy("host", F.col("parent").alias("path")).agg(F.sum("value").alias("total"), F.count("*").alias("many"))
+        level = tree.where(F.col("depth") == depth).join(sums, ["host", "path"], "left")
+        many = F.coalesce("many", F.lit(0)) + F.col("once")
+        total = F.coalesce("total", F.lit(0.0)) + F.col("once")
+        weight = DEPTH_WEIGHT ** (depth + 1)
+        value = F.when(many > 0, (1 - weight) * F.col("importance") + weight * total / many).otherwise(F.col("importance"))
+        below = common.stage(level.select("host", "path", "parent", value.alias("value")), "level")
+        levels.append(below)
+    return reduce(DataFrame.unionByName, levels).select("host", "path", "value")
+
+
+def importance_of_rows(found: DataFrame) -> DataFrame:
+    """n and values, the composite importance of each path that the row n asks for and two pages have."""
+    tree = style_tree(found)
+    wanted = found.select("n", "host", F.explode("asked").alias("path"))
+    times = wanted.groupBy("host", "path").agg(F.count("*").alias("times"))
+    known = common.stage(tree.select("host", "path", "depth").join(times, ["host", "path"]), "asked")
+    least = known.agg(F.min("depth")).first()[0]
+    if least is None:  # no page's text depends on the tree
+        return found.sparkSession.createDataFrame([], "n long, values array<struct<path: long, value: double>>")
+    known = common.stage(known.join(composites(tree, least), ["host", "path"]).select("host", "path", "value", "times"), "importance")
+    return common.join_counted(wanted, known, ["host", "path"]).groupBy("n").agg(F.collect_list(F.struct("path", "value")).alias("values"))
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of each row of pages."""
-    rows = common.pick(pages, page_id="long", url="string", html="string")
-    trees = common.stage(style_tree(rows), "style-tree")
-    before = F.regexp_extract(F.coalesce("url", F.lit("")), r"^\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)
-    joined = rows.withColumn("host", F.lower(before)).join(trees, "host", "left").select("page_id", "url", "html", "host", "pages", "tree")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, importance = None, {}
-        for part in common.slices(batches, "html"):
-            texts = []
-            sources, hosts, sizes, trees = (part.column(i) for i in (2, 3, 4, 5))
-            for i in range(part.num_rows):
-                at = hosts[i].as_py()
-                if at != last:
-                    last, importance = at, composite(trees[i].as_py() or [])
-                texts.append(main_text(parse(sources[i].as_py() or ""), importance, sizes[i].as_py() or 1))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
-
-    return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    rows = common.numbered(pages, page_id="long", url="string", html="string")
+    found = common.stage(page_features(rows), "page-features")
+    joined = rows.join(importance_of_rows(found), "n", "left").select("page_id", "url", "html", "values")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = []
+        for source, values in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            texts.append(main_text(parse(source or ""), {x["path"]: x["value"] for x in values or ()}))
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
+
+    return common.over_text(joined, run, "page_id long, url string, text string, n_chars long", column="html")
