@@ -9,8 +9,9 @@ page repeats is worth nothing, what one page alone has is worth one. Equal pages
 importance mixes its own with its children's, as depth lets them count.
 
 From each page go the branches that are furniture by element, role or name
-(navigation, advert, form, comments, ...) and those of low composite importance. A
-page's article or main element is where text is looked for; inside it, paragraphs and
+(navigation, advert, form, comments, ...) and those that are of low composite importance
+with all that is in them; a branch of low importance that holds a better one loses only its
+own text. A page's article or main element is where text is looked for; inside it, paragraphs and
 headings are never taken for furniture by entropy (copies of a page on one host would
 lose their text), other branches are.
 
@@ -265,15 +266,39 @@ def main_text(root: Node, importance: dict[int, float], pages: int = 2) -> str:
                 holds.add(id(p))
                 p = up[id(p)]
 
+    def floor(node: Node, inside: bool) -> float:
+        """The importance that a branch needs; 0 if entropy doesn't judge it."""
+        if inside:
+            return LOW / 2 if pages > 1 and node.tag in ("div", "section", "ul", "ol", "table", "dl") else 0
+        return 0 if node.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "html", "body", "") else LOW
+
+    best: dict[int, float] = {}  # the greatest importance in a branch without its furniture
+
+    def most(branch: Node, inside: bool) -> float:
+        order, todo = [], [] if id(branch) in best else [branch]
+        while todo:
+            node = todo.pop()
+            inner = [c for c in _children(node) if not _furniture(c, inside)]
+            order.append((node, inner))
+            todo += inner
+        for node, inner in reversed(order):
+            best[id(node)] = max([importance.get(node.path, 1.0), *(best[id(c)] for c in inner)])
+        return best[id(branch)]
+
     def keep(node: Node, inside: bool) -> bool:
         if id(node) in holds or id(node) in chosen:
             return True
         if mains and not inside or _furniture(node, inside):
             return False
-        if inside:
-            sure = node.tag in ("div", "section", "ul", "ol", "table", "dl") and pages > 1
-            return not sure or importance.get(node.path, 1.0) >= LOW / 2
-        return node.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "html", "body", "") or importance.get(node.path, 1.0) >= LOW
+        least = floor(node, inside)
+        return not least or most(node, inside) >= least
+
+    def speaks(node: Node, inside: bool) -> bool:
+        """Whether a kept node's own text is kept."""
+        if id(node) in chosen:
+            return True
+        least = floor(node, inside)
+        return (inside or not mains) and (not least or importance.get(node.path, 1.0) >= least)
 
     out: list[str] = []
     now: list[str] = []
@@ -284,17 +309,17 @@ def main_text(root: Node, importance: dict[int, float], pages: int = 2) -> str:
             out.append(text)
         now.clear()
 
-    todo = [(iter(root.parts), False)]
+    todo = [(iter(root.parts), False, speaks(root, False))]
     while todo:
-        parts, inside = todo[-1]
+        parts, inside, loud = todo[-1]
         part = next(parts, None)
         if part is None or part is BREAK or isinstance(part, Node):
             end()
             if part is None:
                 todo.pop()
             elif part is not BREAK and keep(part, inside):
-                todo.append((iter(part.parts), inside or id(part) in chosen))
-        elif inside or not mains:
+                todo.append((iter(part.parts), inside or id(part) in chosen, speaks(part, inside)))
+        elif loud:
             now.append(part)
     return " ".join(out)
 
@@ -360,7 +385,8 @@ def style_tree(found: DataFrame) -> DataFrame:
     own = common.stage(own.withColumn("alone", F.col("n") < 2), "paths")
     alone = own.where("alone").groupBy("host", F.col("parent").alias("path")).agg(F.count("*").alias("once"))
     kept = own.where(~F.col("alone")).join(alone, ["host", "path"], "left")
-    return common.stage(kept.select("host", "path", "parent", "depth", importance.alias("importance"), F.coalesce("once", F.lit(0)).alias("once")), "style-tree")
+    tree = kept.select("host", "path", "parent", "depth", importance.alias("importance"), F.coalesce("once", F.lit(0)).alias("once"))
+    return common.stage(tree.sortWithinPartitions("depth"), "style-tree")  # a level is read by itself
 
 
 def composite(tree: list[dict]) -> dict[int, float]:
