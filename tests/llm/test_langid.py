@@ -1,7 +1,10 @@
 """Language identification: held-out accuracy, what it must not look at, odd rows."""
 
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 from tidemark.llm import langid
 
@@ -80,3 +83,57 @@ def test_odd_rows(spark):
     empty = frame(spark, [])
     assert langid.predict(empty, langid.fit(empty)).count() == 0
     assert {r["lang_pred"] for r in langid.predict(docs, langid.fit(empty)).collect()} == {"und"}
+
+
+def plain_scores(rows, texts):
+    """The model and its scores by plain dictionaries of all entries."""
+    counts, totals = {}, {}
+    for i, text, lang, _ in rows:
+        if i is None or text is None or lang is None or zlib.crc32(str(i).encode()) % 4 == 2:
+            continue
+        for word in re.findall(r"[^\W\d_]+", text.lower()):
+            parts = [("w", word)] + [(1, c) for c in word]
+            parts += [(n, f" {word} "[k : k + n]) for n in range(2, 6) for k in range(len(word) + 3 - n)]
+            for entry in parts:
+                counts.setdefault(lang, Counter())[entry] += 1
+                totals[lang, entry[0]] = totals.get((lang, entry[0]), 0) + 1
+    langs = sorted(counts)
+    known = {e for c in counts.values() for e, n in c.items() if e[0] != "w" or n > 1}
+
+    def rate(entry):
+        kept = [counts[x][entry] if entry[0] != "w" or counts[x][entry] > 1 else 0 for x in langs]
+        return [math.log((n + 0.5) / totals[x, entry[0]]) for x, n in zip(langs, kept)]
+
+    def word_score(word):
+        if ("w", word) in known:
+            out, weight = rate(("w", word)), 1.0
+        else:
+            for n in range(5, 0, -1):
+                source = f" {word} " if n > 1 else word
+                found = [e for k in range(len(source) - n + 1) if (e := (n, source[k : k + n])) in known]
+                if found:
+                    break
+            else:
+                return [0.0] * len(langs)
+            out, weight = [sum(x) / len(found) for x in zip(*map(rate, found))], 0.6
+        return [(x - max(out)) * weight for x in out]
+
+    for text in texts:
+        found = [word_score(w) for w in re.findall(r"[^\W\d_]+", (text or "").lower())]
+        if not found:
+            yield "und", 0.0
+            continue
+        sums = [sum(x) for x in zip(*found)]
+        yield langs[sums.index(max(sums))], 1 / sum(math.exp(x - max(sums)) for x in sums)
+
+
+def test_against_plain_scoring(spark):
+    rows = corpus(150)
+    short = [(1000 + i, " ".join(t.split()[i % 7 : i % 7 + 1 + i % 2] + ["zzq", t[3:9]]), None, None) for i, t, _, _ in rows[:60]]
+    short += [(2000, None, "aa", None), (2001, "12 _ !", "aa", None), (2002, "ΩΩΩ", None, None)]
+    docs = spark.createDataFrame(rows + short, SCHEMA)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(docs, langid.fit(docs)).collect()}
+    everything = rows + short
+    for (i, text, _, _), (lang, score) in zip(everything, plain_scores(everything, [r[1] for r in everything])):
+        assert abs(got[i][1] - score) < 1e-4, text
+        assert got[i][0] == lang or score < 0.51, text
