@@ -82,18 +82,26 @@ def parse(text: str) -> tuple[list[tuple[str, str]], list[tuple[int, int]]]:
     raise ValueError("no end")
 
 
-def encode(turns: list[tuple[str, str]]) -> str:
-    """The rendered conversation, escaped until parse() gives the same turns back."""
-    plain = render(turns)
+def _recovered(text: str) -> list[tuple[str, str]] | None:
+    """The turns that parse() finds; None if the text isn't of the grammar."""
     try:
-        if not _CONTROL.search("".join(r + "\0" + t + "\0" for r, t in turns)) and parse(plain)[0] == turns:
-            return plain
+        return parse(text)[0]
     except ValueError:
-        pass
-    safe = render([(escape(r), escape(t)) for r, t in turns])
-    if parse(safe)[0] != turns:
-        raise ValueError("the round trip does not hold")
-    return safe
+        return None
+
+
+def encode(turns: list[tuple[str, str]]) -> str:
+    """The rendered conversation, its conflicting turns escaped until parse() gives the same turns back."""
+    safe, plain = list(turns), set(range(len(turns)))
+    while _recovered(text := render(safe)) != turns:
+        # turns that don't come back by themselves or, if all do, those that are as they were
+        conflicts = [i for i in plain if _recovered(render([turns[i]])) != [turns[i]]] or list(plain)
+        if not conflicts:
+            raise ValueError("the round trip does not hold")
+        for i in conflicts:
+            safe[i] = (escape(turns[i][0]), escape(turns[i][1]))
+        plain.difference_update(conflicts)
+    return text
 
 
 def loss_spans(text: str, role: str = "assistant") -> list[tuple[int, int]]:
