@@ -149,6 +149,22 @@ def join_counted(rows: DataFrame, counted: DataFrame, key: str | list[str], time
     return rows.join(some, key).drop(times).unionByName(cold.join(rest, key).drop(times))
 
 
+def join_salted(rows: DataFrame, counted: DataFrame, key: list[str], number: str = "n", times: str = "times") -> DataFrame:
+    """join_counted() where counted is too wide to be broadcast: of its hot rows there are copies.
+
+    A key that one in HOT rows has gets a copy for each such share, fewer than 2 * HOT copies
+    in all; the rows are dealt over the copies by their ``number``. What is broadcast are the
+    hot keys alone. Both frames are read more than once: stage() them.
+    """
+    total = counted.agg(F.sum(times)).first()[0] or 0
+    copies = F.ceil(F.col(times) * HOT / max(total, 1)).cast("int")
+    hot = counted.where(F.col(times) * HOT > total).select(*key, copies.alias("copies"))
+    dealt = F.coalesce(F.pmod(F.xxhash64(number), F.col("copies")), F.lit(0)).cast("int")
+    left = rows.join(F.broadcast(hot), key, "left").withColumn("salt", dealt).drop("copies")
+    right = counted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.greatest(copies, F.lit(1)) - 1))).drop(times)
+    return left.join(right, [*key, "salt"]).drop("salt")
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut so that the column's values in each take about ``limit`` bytes at most."""
     for batch in batches:

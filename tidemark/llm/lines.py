@@ -188,7 +188,7 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 
 def _passages(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(src, lo, hi, passage, lead): words lo - REACH to hi + REACH of the row src; lead: how many of them stand before lo."""
+    """(src, lo, hi, times, passage, lead): words lo - REACH to hi + REACH of the row src; lead: how many of them stand before lo; times as in wanted."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
@@ -196,13 +196,13 @@ def _passages(rows: DataFrame, wanted: DataFrame) -> DataFrame:
             starts, ends, _ = _words(text)
             for x in ranges:
                 a, b = max(x["lo"] - REACH, 0), min(x["hi"] + REACH, len(starts))
-                out.append((n, x["lo"], x["hi"], text[starts[a] : ends[b - 1]].decode(), x["lo"] - a))
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["src", "lo", "hi", "passage", "lead"])
+                out.append((n, x["lo"], x["hi"], x["times"], text[starts[a] : ends[b - 1]].decode(), x["lo"] - a))
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["src", "lo", "hi", "times", "passage", "lead"])
 
-    ranges = wanted.groupBy("src").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    ranges = wanted.groupBy("src").agg(F.collect_list(F.struct("lo", "hi", "times")).alias("ranges"))
     held = rows.join(ranges.withColumnRenamed("src", "n"), "n").select("n", "text", "ranges")
-    return common.over_text(held, run, "src long, lo int, hi int, passage string, lead int")
+    return common.over_text(held, run, "src long, lo int, hi int, times long, passage string, lead int")
 
 
 def _deduped(rows: DataFrame) -> DataFrame:
@@ -215,9 +215,12 @@ def _deduped(rows: DataFrame) -> DataFrame:
     gone = later.groupBy("n").agg(F.collect_list(F.when(~same, F.col("place"))).alias("gone"), F.collect_list(F.when(same, F.col("place"))).alias("own"))
     # windows that stand beside one another in two texts are compared together
     runs = later.where("word >= 0").groupBy("n", "src", (F.col("word") - F.col("at")).alias("moved")).agg(F.min("at").alias("lo"), (F.max("at") + MIN_WORDS).cast("int").alias("hi"))
-    passages = common.stage(_passages(rows, runs.where(~same).select("src", "lo", "hi").distinct()), "passages")
+    runs = common.stage(runs, "runs")
+    wanted = runs.where(~same).groupBy("src", "lo", "hi").agg(F.count("*").alias("times"))
+    passages = common.stage(_passages(rows, wanted), "passages")
     mine = runs.where(same).select("n", "moved", (F.col("lo") + F.col("moved")).alias("lo"), (F.col("hi") + F.col("moved")).alias("hi"), F.lit(0).alias("at"), F.lit(None).cast("string").alias("passage"))
-    others = runs.where(~same).join(passages, ["src", "lo", "hi"]).select("n", "moved", "lo", "hi", (F.col("lo") + F.col("moved") - F.col("lead")).alias("at"), "passage")
+    # a passage that a third of all rows have is met by them in many tasks
+    others = common.join_salted(runs.where(~same), passages, ["src", "lo", "hi"]).select("n", "moved", "lo", "hi", (F.col("lo") + F.col("moved") - F.col("lead")).alias("at"), "passage")
     beside = mine.unionByName(others).groupBy("n").agg(F.collect_list(F.struct("moved", "lo", "hi", "at", "passage")).alias("beside"))
     gone = gone.join(beside, "n", "left")
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
