@@ -190,19 +190,31 @@ def dedup(docs: DataFrame) -> DataFrame:
 def _passages(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """(src, lo, hi, times, passage, lead): words lo - REACH to hi + REACH of the row src; lead: how many of them stand before lo; times as in wanted."""
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for n, text, ranges in zip(batch.column(0).to_pylist(), common.utf8(batch, "text"), batch.column(2).to_pylist()):
-            starts, ends, _ = _words(text)
-            for x in ranges:
-                a, b = max(x["lo"] - REACH, 0), min(x["hi"] + REACH, len(starts))
-                out.append((n, x["lo"], x["hi"], x["times"], text[starts[a] : ends[b - 1]].decode(), x["lo"] - a))
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["src", "lo", "hi", "times", "passage", "lead"])
+    names, kinds = ["src", "lo", "hi", "times", "passage", "lead"], (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int32())
+
+    def made(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        size = 0
+        for part in common.slices(batches, "text"):
+            for n, text, ranges in zip(part.column(0).to_pylist(), common.utf8(part, "text"), part.column(2).to_pylist()):
+                starts, ends = common.word_spans(np.frombuffer(text, np.uint8), _WORD)
+                for x in ranges:
+                    a, b = max(x["lo"] - REACH, 0), min(x["hi"] + REACH, len(starts))
+                    out.append((n, x["lo"], x["hi"], x["times"], text[starts[a] : ends[b - 1]].decode(), x["lo"] - a))
+                    size += int(ends[b - 1] - starts[a])
+                    if size >= common.SLICE_BYTES:  # passages of one text overlap: together they may be far longer
+                        yield made(out)
+                        out, size = [], 0
+        if out:
+            yield made(out)
+        common.release()
 
     ranges = wanted.groupBy("src").agg(F.collect_list(F.struct("lo", "hi", "times")).alias("ranges"))
     held = rows.join(ranges.withColumnRenamed("src", "n"), "n").select("n", "text", "ranges")
-    return common.over_text(held, run, "src long, lo int, hi int, times long, passage string, lead int")
+    return held.mapInArrow(run, "src long, lo int, hi int, times long, passage string, lead int")
 
 
 def _deduped(rows: DataFrame) -> DataFrame:
