@@ -101,6 +101,20 @@ ORACLE_SQL: dict[str, str] = {
         SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
             sha256(coalesce(ks, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM d LEFT JOIN pos ON pos.doc_id = d.doc_id LEFT JOIN item ON item.doc_id = d.doc_id""",
+    # Texts are hex strings, two characters a byte, so that windows are cut by byte.
+    "op4_suffix": """
+        WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+        w AS MATERIALIZED (SELECT r, p, md5_number(substr(x, 2 * p + 1, 800)) AS s FROM (SELECT r, x, unnest(range(0, len(x) // 2 - 399)) AS p FROM d)),
+        hit AS (SELECT r, p FROM w WHERE s IN (SELECT s FROM w GROUP BY s HAVING count(*) > 1)),
+        edge AS (SELECT r, p, coalesce(p > lag(p) OVER (PARTITION BY r ORDER BY p) + 400, true) AS opens FROM hit),
+        placed AS (SELECT r, p, sum(CAST(opens AS INT)) OVER (PARTITION BY r ORDER BY p) AS k FROM edge),
+        run AS (SELECT r, min(p) AS a, max(p) + 400 AS b FROM placed GROUP BY r, k),
+        gap AS (SELECT r, a, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS since FROM run),
+        gone AS (SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS until FROM run GROUP BY r),
+        kept AS (SELECT r, string_agg(substr(x, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS y FROM gap JOIN d USING (r) GROUP BY r)
+        SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+            sha256(unhex(coalesce(y, '') || substr(x, 2 * coalesce(until, 0) + 1))) AS kept_sha256
+        FROM d LEFT JOIN gone USING (r) LEFT JOIN kept USING (r)""",
     "op7_minmax": r"""
         WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
         sh AS (SELECT DISTINCT doc_id, hash(array_to_string(w[i:i + 4], ' '), len(w) < 5) AS s
