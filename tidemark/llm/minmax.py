@@ -325,8 +325,9 @@ def components(docs: DataFrame) -> DataFrame:
 def _components(rows: DataFrame, sketched: DataFrame) -> DataFrame:
     # copies link to the least id of their class, and an id with several texts links its classes
     real = sketched.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
-    named = real.groupBy("digest").agg(F.min("doc_id").alias("node"))
-    copies = real.select("doc_id", "digest").join(common.stage(named, "named"), "digest").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    named = real.groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("times")).where("times > 1")
+    # a text that a third of all documents copy is a hot key
+    copies = common.join_counted(real.select("doc_id", "digest"), common.stage(named, "named"), "digest").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     found = graph.components(near_links(rows, sketched).unionByName(copies))
     labelled = sketched.select("doc_id", "size").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
