@@ -1,8 +1,11 @@
 """Decontamination against a scan of every text."""
 
 import hashlib
+import random
 import re
 
+import pytest
+
 from tidemark.llm import decontam
 
 from .corpus import documents, frame, odd
@@ -86,3 +89,51 @@ def test_proximity_with_terms_that_no_document_holds(spark):
     docs = frame(spark, [(1, item.replace("four", "quatre").replace("nine", "neuf")), (2, item.replace("four", "a").replace("nine", "b").replace("two", "c"))])
     benchmark = spark.createDataFrame([(7, item)], "item_id long, text string")
     assert {r["doc_id"]: r["items"] for r in decontam.near(docs, benchmark).collect()} == {1: ["7"], 2: []}
+
+
+def brute_near(rows, items, slack, missing):
+    """All places of all windows, text by text."""
+    out = []
+    for i, t in rows:
+        w, hit, found = words(t), set(), set()
+        for item, text in items:
+            terms = words(text)
+            n = min(13, len(terms))
+            for k in range(len(terms) - n + 1 if n else 0):
+                for start in range(-n - slack, len(w) + slack + 1):
+                    places = [[p for p in range(max(0, start + o - slack), min(len(w), start + o + slack + 1)) if w[p] == terms[k + o]] for o in range(n)]
+                    if sum(map(bool, places)) >= max(1, n - missing):
+                        met = [p for ps in places for p in ps]
+                        hit.update(range(min(met), max(met) + 1))
+                        found |= {str(item)} if item is not None else set()
+        out.append((str(i), len(w), sorted(hit), sorted(found)))
+    return sorted(out)
+
+
+def near_result(df):
+    return sorted((str(r["doc_id"]), r["n_words"], sorted(r["hits"]), r["items"]) for r in df.collect())
+
+
+@pytest.mark.parametrize("slack,missing", [(3, 2), (0, 2), (2, 0)])
+def test_proximity_against_a_scan(spark, slack, missing):
+    g = random.Random(slack)
+    item = [f"t{g.randrange(14)}" for _ in range(16)]
+    items = [(1, " ".join(item)), (None, "zz yy xx"), (3, None), (4, ""), (5, "lone"), (1, " ".join(item))]
+    rows = odd()[:9] + [(600, " ".join(item[4:])), (601, " ".join(item[:-4])), (602, "zz"), (603, "yy xx"), (604, "lone")]
+    for k in range(40):
+        w = item[:]
+        for _ in range(g.randrange(6)):
+            at = g.randrange(len(w))
+            w[at : at + g.choice([0, 1])] = g.choice([[], ["extra"], [g.choice(item)]])
+        cut = g.choice([0, 0, len(w) // 2])
+        rows += [(k, " ".join(w[cut:])), (100 + k, " ".join(["a b c", *w, "d e"])), (200 + k, " ".join(w[:cut]))]
+    out = near_result(decontam.near(frame(spark, rows).coalesce(1), spark.createDataFrame(items, "item_id long, text string"), slack, missing))
+    assert out == brute_near(rows, items, slack, missing)
+    assert sum("1" in r[3] for r in out) > 20
+
+
+def test_proximity_of_nothing(spark):
+    _, _, benchmark = case(spark)
+    assert decontam.near(frame(spark, []), benchmark).count() == 0
+    nothing = decontam.near(frame(spark, odd()), spark.createDataFrame([], "item_id long, text string"))
+    assert nothing.where("size(hits) > 0 or size(items) > 0").count() == 0 and nothing.count() == len(odd())

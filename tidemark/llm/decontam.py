@@ -112,10 +112,10 @@ class Queries:
 _SEGMENT = "n array<long>, doc_id array<long>, n_words array<int>, begin array<long>, terms array<long>, ends array<int>, positions array<int>"
 
 
-def segment_of(texts: list[bytes], terms: np.ndarray | None, least: np.ndarray | None) -> tuple:
+def segment_of(texts: list[bytes], terms: np.ndarray | None, least: np.ndarray | None, gap: int = 1) -> tuple:
     """n_words and first position of each text; then terms, ends of their lists, and positions.
 
-    Positions run through the segment with a gap between texts. terms: None for all.
+    Positions run through the segment with ``gap`` unused ones between texts. terms: None for all.
     ``least``: keep a posting only in a run of query terms of so many words.
     """
     data = _LOWER[np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)]
@@ -123,8 +123,8 @@ def segment_of(texts: list[bytes], terms: np.ndarray | None, least: np.ndarray |
     starts, hashes = words(data)
     first = np.searchsorted(starts, offsets)
     n_words = np.diff(first)
-    begin = first[:-1] + np.arange(len(texts))
-    position = np.arange(len(starts)) + np.repeat(np.arange(len(texts)), n_words)
+    begin = first[:-1] + np.arange(len(texts)) * gap
+    position = np.arange(len(starts)) + np.repeat(np.arange(len(texts)) * gap, n_words)
     if terms is None:
         terms, least = np.unique(hashes), None
     at = np.searchsorted(terms, hashes)
@@ -140,13 +140,13 @@ def segment_of(texts: list[bytes], terms: np.ndarray | None, least: np.ndarray |
     return n_words, begin, listed.view(np.int64), np.cumsum(counts), position[order]
 
 
-def index(docs: DataFrame, terms: np.ndarray, least: np.ndarray | None) -> DataFrame:
+def index(docs: DataFrame, terms: np.ndarray, least: np.ndarray | None, gap: int = 1) -> DataFrame:
     """The segments of rows (n, doc_id, text), written to the shared folder. terms: sorted; of others there are no postings."""
     held = docs.sparkSession.sparkContext.broadcast((terms, least))
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         terms, least = held.value
-        n_words, begin, kinds, ends, positions = segment_of(common.utf8(batch, "text"), terms, least)
+        n_words, begin, kinds, ends, positions = segment_of(common.utf8(batch, "text"), terms, least, gap)
         one = lambda values, kind: pa.array([values], pa.list_(kind))
         columns = [one(batch.column(0), pa.int64()), one(batch.column(1), pa.int64()), one(n_words, pa.int32()), one(begin, pa.int64()), one(kinds, pa.int64()), one(ends, pa.int32()), one(positions, pa.int32())]
         return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _SEGMENT.split(", ")])
@@ -227,32 +227,42 @@ def phrase_matches(queries: Queries, lists: Lists) -> tuple[np.ndarray, np.ndarr
     return tuple(np.concatenate(found, 1))
 
 
-def near_starts(lists: list[np.ndarray], slack: int, least: int) -> np.ndarray:
-    """Where at least ``least`` terms of a window stand within ``slack`` words of their places, by the rarest present terms. lists: of each term in order."""
-    out = []
+def near_spans(lists: list[np.ndarray], slack: int, least: int) -> np.ndarray:
+    """(first, stop) of the words of each match: for some start, ``least`` terms or more stand within ``slack`` words of their places.
+
+    lists: of each term in order. Any such match has one of the rarest present terms in it,
+    so that starts are tried around these. first and stop enclose the terms that were found.
+    """
     rarest = sorted((i for i in range(len(lists)) if len(lists[i])), key=lambda i: len(lists[i]))
-    for offset in rarest[: len(rarest) - least + 1]:  # one of these terms is in every such match
-        starts = lists[offset] - offset
-        found = np.zeros(len(starts), np.int64)
-        for o, listed in enumerate(lists):
-            want = starts + o
-            found += np.searchsorted(listed, want + slack, "right") > np.searchsorted(listed, want - slack, "left")
-        out.append(starts[found >= least])
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
-
-
-def near_matches(queries: Queries, lists: Lists, slack: int, missing: int) -> tuple[np.ndarray, np.ndarray]:
-    """(window, start) of all proximity matches; only windows of which all but ``missing`` terms are in the segment are looked at."""
+    tried = [lists[offset] - offset + d for offset in rarest[: max(0, len(rarest) - least + 1)] for d in range(-slack, slack + 1)]
+    if not tried:
+        return np.zeros((0, 2), np.int64)
+    starts = np.unique(np.concatenate(tried))
+    found = np.zeros(len(starts), np.int64)
+    first, stop = np.full(len(starts), np.iinfo(np.int64).max), np.zeros(len(starts), np.int64)
+    for offset in rarest:
+        listed, want = lists[offset], starts + offset
+        a, b = np.searchsorted(listed, want - slack, "left"), np.searchsorted(listed, want + slack, "right")
+        has = np.flatnonzero(a < b)
+        found[has] += 1
+        first[has] = np.minimum(first[has], listed[a[has]])
+        stop[has] = np.maximum(stop[has], listed[b[has] - 1] + 1)
+    matched = found >= least
+    return np.unique(np.stack([first[matched], stop[matched]], 1), axis=0)
+
+
+def near_matches(queries: Queries, lists: Lists, slack: int, missing: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(window, first, stop) of all proximity matches; only windows of which all but ``missing`` terms are in the segment are looked at."""
     present = np.zeros(len(queries.terms) + 1, bool)
     present[lists.codes] = True
-    found = [np.zeros((2, 0), np.int64)]
+    found = [np.zeros((3, 0), np.int64)]
     for a in range(0, len(queries.begin), 1 << 16):
         some = np.arange(a, min(a + (1 << 16), len(queries.begin)))
         enough = present[queries.matrix(some)].sum(1) >= np.maximum(1, queries.size[some] - missing)
         for w in some[enough].tolist():
             size = int(queries.size[w])
-            starts = near_starts([lists.of(c) for c in queries.codes[queries.begin[w] :][:size]], slack, max(1, size - missing))
-            found.append(np.stack([np.full(len(starts), w), starts]))
+            spans = near_spans([lists.of(c) for c in queries.codes[queries.begin[w] :][:size]], slack, max(1, size - missing))
+            found.append(np.stack([np.full(len(spans), w), *spans.T]))
     return tuple(np.concatenate(found, 1))
 
 
@@ -275,14 +285,17 @@ def search(segments: DataFrame, queries: Queries, slack: int = 0, missing: int =
             for k in range(batch.num_rows):
                 n, ids, n_words, begin, terms, ends, positions = (batch.column(i)[k].values for i in range(7))
                 lists = Lists(asked, terms.to_numpy().view(np.uint64), ends.to_numpy(), positions.to_numpy())
-                windows, starts = near_matches(asked, lists, slack, missing) if slack or missing else phrase_matches(asked, lists)
+                if slack or missing:
+                    windows, starts, stops = near_matches(asked, lists, slack, missing)
+                else:
+                    windows, starts = phrase_matches(asked, lists)
+                    stops = starts + asked.size[windows]
                 first, sizes = begin.to_numpy(), n_words.to_numpy()
                 end = int(first[-1] + sizes[-1]) if len(first) else 0
-                size = asked.size[windows]
-                doc = np.searchsorted(first, np.maximum(starts, 0), "right") - 1  # where a match begins
+                doc = np.searchsorted(first, starts, "right") - 1
                 edge = np.zeros(end + 1, np.int64)
-                np.add.at(edge, np.maximum(starts, first[doc]), 1)
-                np.add.at(edge, np.minimum(starts + size, first[doc] + sizes[doc]), -1)
+                np.add.at(edge, starts, 1)
+                np.add.at(edge, stops, -1)
                 hit = np.flatnonzero(np.cumsum(edge) > 0)
                 owner = np.searchsorted(first, hit, "right") - 1
                 words_of = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(len(first) + 1)), pa.int32()), pa.array(hit - first[owner], pa.int32()))
@@ -328,7 +341,8 @@ def matches(rows: DataFrame, benchmark: DataFrame, slack: int = 0, missing: int
     """search() of all blocks of the benchmark: one row for each of ``rows``, which are read once."""
     wanted = vocabulary(Queries(block) for block in _blocks(benchmark))
     terms, least = wanted or (None, None)
-    segments = index(rows, terms, None if slack or missing else least)
+    # a proximity match doesn't reach from one text into the next
+    segments = index(rows, terms, None, WINDOW + 2 * slack) if slack or missing else index(rows, terms, least)
     found = [search(segments, Queries(block), slack, missing) for block in _blocks(benchmark)]
     if len(found) == 1:
         return found[0]
@@ -340,7 +354,10 @@ def matches(rows: DataFrame, benchmark: DataFrame, slack: int = 0, missing: int
 
 
 def near(docs: DataFrame, benchmark: DataFrame, slack: int = 3, missing: int = 2) -> DataFrame:
-    """doc_id, n_words, hits and items of proximity matches: all but ``missing`` terms within ``slack`` words."""
+    """doc_id, n_words, hits and items of proximity matches: all but ``missing`` terms of a window (one at least) stand
+    within ``slack`` words of their places, for some place of the window, which may begin before the text or end
+    behind it. hits: from the first of these terms to the last.
+    """
     return matches(numbered(docs), benchmark, slack, missing).drop("n")
 
 
