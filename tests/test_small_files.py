@@ -30,6 +30,15 @@ def test_small_files_share_parquet_files(spark, tmp_path):
     assert rows(table, included("00100"), excluded("00130")) == [(f"{i:05}", f"v{3000 + i}") for i in range(100, 130)]
 
 
+def test_batches_are_not_ranked_again(spark):
+    cut = table_queries.parts(spark, SF, 8)
+    assert not any("Window" in p._jdf.queryExecution().toString() for p in cut)
+    pos = [[r["pos"] for r in p.collect()] for p in cut]
+    assert sum(map(len, pos)) == table_queries.ops(spark, SF).count() and max(map(len, pos)) - min(map(len, pos)) <= 8
+    assert all(max(a) < min(b) for a, b in zip(pos, pos[1:]))
+    assert [p.count() for p in table_queries.parts(spark, SF, 8)] == list(map(len, pos))
+
+
 def test_many_shifts_are_one_scan(spark, tmp_path, monkeypatch):
     table = open_table(spark, str(tmp_path), TableOptions())
     for k in range(4):

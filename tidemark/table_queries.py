@@ -29,11 +29,16 @@ def ops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parts(spark: SparkSession, sf_dir: str, n: int) -> list[DataFrame]:
-    """The log cut in n batches, oldest first."""
-    whole = ranked(ops(spark, sf_dir), "pos")
-    size = -(-whole.count() // n)
-    at = F.floor((F.col("rank") - 1) / max(1, size))
-    return [whole.where(at == i).drop("rank") for i in range(n)]
+    """The log cut in n batches, oldest first. It is ranked once, for the places where batches begin."""
+    log = ops(spark, sf_dir)
+    count = log.count()
+    size = max(1, -(-count // n))
+    begins = [r["pos"] for r in ranked(log, "pos").where((F.col("rank") - 1) % size == 0).orderBy("pos").select("pos").collect()]
+    out = []
+    for i in range(n):
+        part = log.where(F.col("pos") >= begins[i]) if i < len(begins) else log.where(F.lit(False))
+        out.append(part.where(F.col("pos") < begins[i + 1]) if i + 1 < len(begins) else part)
+    return out
 
 
 def fresh(spark: SparkSession, label: str, options: TableOptions = SMALL) -> Table:
