@@ -39,6 +39,15 @@ def test_batches_are_not_ranked_again(spark):
     assert [p.count() for p in table_queries.parts(spark, SF, 8)] == list(map(len, pos))
 
 
+def test_memtables_get_files_by_one_commit(spark, tmp_path):
+    table = open_table(spark, str(tmp_path), TableOptions.plain())
+    before = table.manifest.snapshot().version
+    table_queries.write_all(table, ops(spark, 3500, 700), flush=True)
+    state = table.manifest.snapshot()
+    assert state.version == before + 1 and [state.entries[n].rows for n in state.levels.level0] == [500, 700, 700, 700]
+    assert rows(table) == [(f"{i % 700:05}", f"v{i}") for i in range(2800, 3500)]
+
+
 def test_many_shifts_are_one_scan(spark, tmp_path, monkeypatch):
     table = open_table(spark, str(tmp_path), TableOptions())
     for k in range(4):

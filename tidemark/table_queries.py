@@ -55,21 +55,26 @@ def loaded(spark: SparkSession, sf_dir: str, label: str, batches: int = 3, optio
 
 
 def write_all(table: Table, rows: DataFrame, flush: bool = False) -> None:
-    """Operations in order through write_batch(), CHUNK at a time; flush: a flush after each chunk."""
+    """Operations in order through write_batch(), CHUNK at a time; flush: each chunk is a memtable and a file of level 0, several are written by one job."""
     held: list = []
 
     def write() -> None:
         table.write_batch(held)
         held.clear()
         if flush:
-            table.flush()
+            table.freeze()
+            if len(table.immutable) >= table.options.memtable_limit:
+                table.flush_each()
 
-    for r in rows.orderBy("pos").select("op", "key", "value").toLocalIterator():
-        held.append((r["op"], r["key"], r["value"] if r["op"] == "put" else None))
+    for r in rows.orderBy("pos").select("op", "key", "value").toLocalIterator(prefetchPartitions=True):
+        op, key, value = r
+        held.append((op, key, value if op == "put" else None))
         if len(held) == CHUNK:
             write()
     if held:
         write()
+    if flush:
+        table.flush_each()
 
 
 def text(pairs: DataFrame) -> DataFrame:
