@@ -48,6 +48,26 @@ def test_memtables_get_files_by_one_commit(spark, tmp_path):
     assert rows(table) == [(f"{i % 700:05}", f"v{i}") for i in range(2800, 3500)]
 
 
+def test_closing_merges_waiting_memtables(spark, tmp_path):
+    options = TableOptions(target_file_size=64)
+    with open_table(spark, str(tmp_path), options) as table:
+        table.write_batch([("put", f"{i % 50:03}", f"v{i}") for i in range(1000)] + [("del", "007", None)])
+        assert len(table.immutable) > 50
+        before = table.manifest.snapshot().version
+    again = open_table(spark, str(tmp_path), options)
+    assert again.manifest.snapshot().version == before + 2  # the flush, and the second opener
+    assert rows(again) == [(f"{i % 50:03}", f"v{i}") for i in range(950, 1000) if i != 957]
+
+
+def test_waiting_memtables_are_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "HELD_BYTES", 2000, raising=False)
+    table = open_table(spark, str(tmp_path), TableOptions(target_file_size=100))
+    for k in range(10):
+        table.write_batch([("put", f"{i:03}", f"v{k}") for i in range(100)])
+        assert sum(t.size for t in table.immutable) < 2000
+    assert rows(table) == [(f"{i:03}", "v9") for i in range(100)]
+
+
 def test_many_shifts_are_one_scan(spark, tmp_path, monkeypatch):
     table = open_table(spark, str(tmp_path), TableOptions())
     for k in range(4):
