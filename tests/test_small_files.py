@@ -78,3 +78,11 @@ def test_many_shifts_are_one_scan(spark, tmp_path, monkeypatch):
     plan = table.view(KeyRange(included("a"), included("k1")))._jdf.queryExecution().toString()
     assert plan.split("== Physical Plan ==")[1].count("Location:") == 1 and "GreaterThanOrEqual(key" in plan
     assert rows(table) == [("a", "v3"), *((f"k{k}", "x") for k in range(4))]
+
+
+def test_two_openers_flush_at_once(spark, monkeypatch):
+    made = []
+    fresh = table_queries.fresh
+    monkeypatch.setattr(table_queries, "fresh", lambda *a: made.append(fresh(*a)) or made[-1])
+    found = table_queries.kv_table_two_openers(spark, SF).count()
+    assert found and made[0].manifest.snapshot().version <= 12

@@ -323,8 +323,7 @@ def kv_table_two_openers(spark, sf_dir):
         if i % 2:
             write_all(two, part)
             two.freeze()
-            while two.flush_one():
-                pass
+            two.flush_all()
             two.compact_once()
         else:
             one.ingest(part)
