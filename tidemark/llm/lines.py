@@ -35,6 +35,8 @@ REACH = 32
 CHANCE = 4
 #: Least length of a line that goes because its own row holds it above.
 MIN_BYTES = 80
+#: Text bytes that a worker cuts in units at once: their arrays take some 70 times as much.
+SLICE_BYTES = 1 << 18
 
 #: Keeps digests of lines apart from those of windows.
 _LINE = np.uint64(0x2545F4914F6CDD1D)
@@ -129,7 +131,7 @@ def pieces(rows: DataFrame) -> DataFrame:
         word = np.where(p.whole, -1, p.a - p.word_of[p.text])
         return pa.RecordBatch.from_arrays([pa.array(p.hash), ids, n, pa.array(p.place.astype(np.int32)), pa.array(word.astype(np.int32))], ["h", "doc_id", "n", "place", "word"])
 
-    return common.over_text(rows, run, "h long, doc_id long, n long, place int, word int")
+    return common.over_text(rows, run, "h long, doc_id long, n long, place int, word int", limit=SLICE_BYTES)
 
 
 def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -198,14 +200,14 @@ def _passages(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         size = 0
-        for part in common.slices(batches, "text"):
+        for part in common.slices(batches, "text", SLICE_BYTES):
             for n, text, ranges in zip(part.column(0).to_pylist(), common.utf8(part, "text"), part.column(2).to_pylist()):
                 starts, ends = common.word_spans(np.frombuffer(text, np.uint8), _WORD)
                 for x in ranges:
                     a, b = max(x["lo"] - REACH, 0), min(x["hi"] + REACH, len(starts))
                     out.append((n, x["lo"], x["hi"], x["times"], text[starts[a] : ends[b - 1]].decode(), x["lo"] - a))
                     size += int(ends[b - 1] - starts[a])
-                    if size >= common.SLICE_BYTES:  # passages of one text overlap: together they may be far longer
+                    if size >= SLICE_BYTES:  # passages of one text overlap: together they may be far longer
                         yield made(out)
                         out, size = [], 0
         if out:
@@ -253,7 +255,7 @@ def _deduped(rows: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), left, pa.array(counts, pa.int64()), pa.array(removed, kind)], ["doc_id", "n", "text", "n_removed", "removed"])
 
     joined = rows.join(gone, "n", "left").select("doc_id", "text", "n", "gone", "own", "beside")
-    return common.over_text(joined, run, "doc_id long, n long, text string, n_removed long, removed array<struct<start: long, end: long>>")
+    return common.over_text(joined, run, "doc_id long, n long, text string, n_removed long, removed array<struct<start: long, end: long>>", limit=SLICE_BYTES)
 
 
 def dedup_documents(docs: DataFrame) -> DataFrame:
