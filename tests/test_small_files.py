@@ -22,11 +22,11 @@ def test_small_files_share_parquet_files(spark, tmp_path):
         table.ingest(ops(spark, 4000, 1000))
     table.compact_full()
     found = list(table.manifest.snapshot().entries.values())
-    assert sum(e.rows for e in found) == 1000 and 35 <= len(found) <= 45  # 10 bytes a row: counted after the merge, without Parquet's own bytes
+    assert sum(e.rows for e in found) == 1000 and 95 <= len(found) <= 110  # 26 bytes a row: counted after the merge, without Parquet's own bytes
     assert len({e.path for e in found}) == 1
     assert not table.manifest.snapshot().check_levels()
     some = KeyRange(included("00100"), excluded("00130"))
-    assert 1 <= len(table.manifest.snapshot().select(some)) <= 3
+    assert 1 <= len(table.manifest.snapshot().select(some)) <= 6
     assert rows(table, included("00100"), excluded("00130")) == [(f"{i:05}", f"v{3000 + i}") for i in range(100, 130)]
 
 

@@ -17,6 +17,8 @@ from .manifest import FileEntry
 DATA = "data"
 #: Files of a table with a smaller target lie together in Parquet files of this size.
 PACK_BYTES = 1 << 20
+#: What a record takes besides key and value: seq and two lengths.
+RECORD_BYTES = 16
 #: So many different shifts are read by scans of their own; more by one scan with a list of files and shifts.
 MANY_SHIFTS = 16
 
@@ -41,7 +43,7 @@ def write(entries: DataFrame, files, options: TableOptions, rows: int, size: int
     by = ["name", "bytes"]
     if packed:
         before = F.sum("size").over(W.partitionBy("name").orderBy("key").rowsBetween(W.unboundedPreceding, -1))
-        stats = stats.select("key", "seq", "name", entry_bytes(F.col("key"), F.col("value")).cast("long").alias("size"))
+        stats = stats.select("key", "seq", "name", (entry_bytes(F.col("key"), F.col("value")) + RECORD_BYTES).cast("long").alias("size"))
         stats = stats.withColumn("cut", F.floor(F.coalesce(before, F.lit(0)) / target))
         by = ["name", "cut"]
     measures = [F.min("key").alias("first"), F.max("key").alias("last"), F.count("*").alias("rows"), F.min("seq").alias("low"), F.max("seq").alias("high")]
@@ -64,7 +66,7 @@ def write_runs(spark: SparkSession, runs: list[list[tuple[bytes, int, bytes | No
     for i, run in enumerate(runs):
         place = f"{folder}/run={i}"
         (name,) = [n for n in files.list(place) if n.endswith(".parquet")]
-        size = sum(len(k) + len(v or b"") for k, _, v in run)
+        size = sum(len(k) + len(v or b"") + RECORD_BYTES for k, _, v in run)
         out.append(FileEntry(f"{place}/{name}", run[0][0], run[-1][0], len(run), size, min(s for _, s, _ in run), max(s for _, s, _ in run)))
     return out
 
