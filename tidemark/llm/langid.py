@@ -43,6 +43,8 @@ SMOOTH = 0.5
 BACKOFF = 0.6
 #: Unseen words that a worker remembers the scores of.
 MEMORY = 150_000
+#: Text bytes whose words a worker that only keeps documents holds at once.
+SLICE_BYTES = 1 << 18
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -260,8 +262,10 @@ def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not scorer:
             scorer.append(Scorer(Model(*held.value)))
-        for part in common.slices(batches, f"c{at}"):
+        for part in common.slices(batches, f"c{at}", SLICE_BYTES):
             keep = [lang != "und" for lang, _ in scorer[0].predict_all(part.column(at).to_pylist())]
             yield part.filter(pa.array(keep, pa.bool_()))
+        scorer.clear()  # its words are a worker's largest share
+        common.release()
 
     return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

@@ -43,6 +43,8 @@ LEAST = 85
 #: A part of a group has about so many shingles and members at most.
 UNIT_SHINGLES = 1 << 20
 UNIT_MEMBERS = 2_000
+#: Text bytes whose shingles a worker makes at once: their arrays take many times as much.
+SLICE_BYTES = 1 << 18
 
 _WORD = np.ones(256, bool)
 _WORD[[9, 10, 11, 12, 13, 32]] = False
@@ -113,7 +115,7 @@ def sketches(rows: DataFrame) -> DataFrame:
         keys = pa.array([bands(signature(s)) if len(s) else None for s in sets], pa.list_(pa.int64()))
         return pa.RecordBatch.from_arrays([batch.column(0), sizes, digests, keys], ["doc_id", "size", "digest", "bands"])
 
-    return common.over_text(rows, run, "doc_id long, size long, digest binary, bands array<long>")
+    return common.over_text(rows, run, "doc_id long, size long, digest binary, bands array<long>", limit=SLICE_BYTES)
 
 
 class Forest:
@@ -308,7 +310,7 @@ def near_links(rows: DataFrame, sketched: DataFrame) -> DataFrame:
 
     texts = rows.withColumnRenamed("doc_id", "node").join(wanted, "node").select("node", "digest", "text")
     # a doc_id with several texts has a set for each
-    members = common.over_text(texts, run, "node long, digest binary, size long, shingles binary").dropDuplicates(["node", "digest"])
+    members = common.over_text(texts, run, "node long, digest binary, size long, shingles binary", limit=SLICE_BYTES).dropDuplicates(["node", "digest"])
     members = common.stage(members, "sets")
     beside = common.stage(_beside_hub(_with_hub(groups, members)), "beside-hub")
     direct = beside.where("linked").select(F.col("hub").alias("a"), F.col("node").alias("b"))
